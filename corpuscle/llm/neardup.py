@@ -7,9 +7,9 @@ fewer than m steps an element, because a text is finished as soon as every place
 here whole batches take step j at once and finished texts drop out.
 
 Plan: one Python pass makes (doc_id, 128-bit set key, band keys), which is checkpointed. Texts with the same set form a
-class, of which one row represents the others. Band keys of the representatives are counted; a band key of two rows is a
-candidate pair by its least and greatest id, only the rare keys of more rows are joined with themselves. The sets of the
-candidates, and of no other rows, are then made again from their texts and compared exactly. Links hold between
+class, of which one row represents the others. Band keys of the representatives are counted; keys of two or three rows
+give their pairs by arithmetic, only the rare keys of more rows are joined with themselves. The sets of the candidates,
+and of no other rows, are then made again from their texts and compared exactly. Links hold between
 representatives; members are attached by an equi-join. A crowded band key (more than ``CROWD`` representatives) is
 refined by further places of the signature before its rows are paired.
 
@@ -33,6 +33,8 @@ from corpuscle.operators.components import components
 from corpuscle.session import cut
 
 SHINGLE, MIN_WORDS, BANDS, ROWS, CROWD, REFINE = 3, 40, 64, 4, 50, 16
+#: Keys that are broadcast at most (8 bytes each); beyond that their rows are found by a shuffled join.
+BROADCAST_KEYS = 200_000
 PLACES = BANDS * ROWS
 #: Texts of a Python batch are taken together until they have this many shingles.
 BATCH = 120_000
@@ -144,9 +146,12 @@ def _texts(docs: DataFrame, title_col: str, text_col: str, key: str) -> DataFram
 
 def signatures(
     docs: DataFrame, title_col: str = "title", text_col: str = "main_text", key: str = "doc_id",
-    min_words: int = MIN_WORDS, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS,
+    min_words: int = MIN_WORDS, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, places: bool = False,
 ) -> DataFrame:
-    """(doc_id, set_a, set_b, bands, more): set key, band keys and further places; no shuffle."""
+    """(doc_id, set_a, set_b, bands): set key and band keys; with ``places`` some places of the signature instead.
+
+    No shuffle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
@@ -157,18 +162,21 @@ def signatures(
                 with np.errstate(over="ignore"):
                     a = [int(mix(s ^ U(0x243F6A8885A308D3)).sum().view(np.int64)) for s in sets]
                     c = [int(mix(s ^ U(0x13198A2E03707344)).sum().view(np.int64)) for s in sets]
-                keys = band_keys(sig, bands, rows)
-                more = sig[:, :: max(1, bands * rows // REFINE)][:, :REFINE].copy().view(np.int64)
-                as_lists = lambda x: pa.ListArray.from_arrays(
-                    pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.reshape(-1))
-                )
+                if places:
+                    keys = sig[:, :: max(1, bands * rows // REFINE)][:, :REFINE].copy().view(np.int64)
+                else:
+                    keys = band_keys(sig, bands, rows)
+                ends = pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(at)), pa.array(a, pa.int64()), pa.array(c, pa.int64()), as_lists(keys), as_lists(more)],
-                    names=["doc_id", "set_a", "set_b", "bands", "more"],
-                )
+                    [
+                        ids.take(pa.array(at)), pa.array(a, pa.int64()), pa.array(c, pa.int64()),
+                        pa.ListArray.from_arrays(ends, pa.array(keys.reshape(-1))),
+                    ],
+                    names=["doc_id", "set_a", "set_b", "bands"],
+                )
 
     return _texts(docs, title_col, text_col, key).mapInArrow(
-        run, "doc_id long, set_a long, set_b long, bands array<long>, more array<long>"
+        run, "doc_id long, set_a long, set_b long, bands array<long>"
     )
 
 
@@ -191,19 +199,38 @@ def _pairs(members: DataFrame, on: list[str]) -> DataFrame:
     return members.join(other, on).where("rep < rep_b").select(F.col("rep").alias("a"), F.col("rep_b").alias("b"))
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of representatives that share a band key."""
+def candidates(reps: DataFrame, texts: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of representatives that share a band key.
+
+    One shuffle of (key, id) counts the keys. From its least and greatest id and the exclusive or of all ids follow the
+    pairs of keys of two and three rows; only rows of more crowded keys are looked up again.
+    """
     keyed = reps.select("rep", F.explode("bands").alias("k"))
-    counted = keyed.groupBy("k").agg(F.count("*").alias("n"), F.min("rep").alias("a"), F.max("rep").alias("b")).where("n > 1")
-    shared = cut(counted)
-    two = shared.where("n = 2").select("a", "b")
-    several = keyed.join(shared.where(F.col("n").between(3, CROWD)).select("k"), "k")
-    crowded = (
-        reps.select("rep", "more", F.explode("bands").alias("k"))
-        .join(shared.where(F.col("n") > CROWD).select("k"), "k")
-        .select("rep", "k", F.posexplode("more").alias("t", "v"))
+    counted = keyed.groupBy("k").agg(
+        F.count("*").alias("n"), F.min("rep").alias("a"), F.max("rep").alias("b"), F.bit_xor("rep").alias("x")
     )
-    return two.union(_pairs(several, ["k"])).union(_pairs(crowded, ["k", "t", "v"])).distinct()
+    shared = cut(counted.where("n > 1"))
+    third = F.col("x").bitwiseXOR(F.col("a")).bitwiseXOR(F.col("b"))
+    pair = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    few = F.when(F.col("n") == 2, F.array(pair(a, b))).otherwise(F.array(pair(a, b), pair(a, third), pair(third, b)))
+    out = shared.where("n <= 3").select(F.explode(few).alias("p")).select("p.a", "p.b")
+    sizes = shared.where("n > 3").agg(F.count("*"), F.count_if(F.col("n") > CROWD)).first()
+
+    def rows_of(keys: DataFrame, n: int) -> DataFrame:
+        keys = keys.select("k")
+        return keyed.join(F.broadcast(keys) if n <= BROADCAST_KEYS else keys, "k", "left_semi")
+
+    if sizes[0] > sizes[1]:
+        out = out.union(_pairs(rows_of(shared.where(F.col("n").between(4, CROWD)), sizes[0] - sizes[1]), ["k"]))
+    if sizes[1]:
+        crowded = cut(rows_of(shared.where(F.col("n") > CROWD), sizes[1]))
+        again = texts.join(crowded.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        more = signatures(again, width=width, places=True).select(
+            F.col("doc_id").alias("rep"), F.posexplode("bands").alias("t", "v")
+        )
+        out = out.union(_pairs(crowded.join(more, "rep"), ["k", "t", "v"]))
+    return out.distinct()
 
 
 def similar(common: Column, size_a: Column, size_b: Column, threshold: float) -> Column:
@@ -225,7 +252,7 @@ class NearDuplicates:
         #: (doc_id, rep): rep is the least id with the same set.
         self.classes = sigs.select("doc_id", "set_a", "set_b").join(first, ["set_a", "set_b"]).select("doc_id", "rep", "copies")
         reps = sigs.join(first.select("rep"), sigs.doc_id == first.rep, "left_semi").withColumnRenamed("doc_id", "rep")
-        found = cut(candidates(reps))
+        found = cut(candidates(reps, texts, width))
         wanted = found.select(F.col("a").alias("doc_id")).union(found.select("b")).distinct()
         sets = shingle_sets(texts.join(wanted, "doc_id", "left_semi"), width)
         a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
