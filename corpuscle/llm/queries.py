@@ -7,11 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import chunks, encode, neardup
+from corpuscle.llm import canon, chunks, encode, names, neardup
 from corpuscle.llm import mix as mixing
 from corpuscle.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return canon.map_rows(table(spark, d, "typed_labels"), table(spark, d, "label_mapping"))
+
+
+def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    return canon.unmatched(table(spark, d, "typed_labels"), table(spark, d, "label_mapping"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.NearDuplicates(table(spark, d, "documents")).pairs()
 
@@ -20,6 +28,10 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.NearDuplicates(table(spark, d, "documents")).groups()
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.variant_pairs(table(spark, d, "documents"), table(spark, d, "nickname_list"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return chunks.split_texts(table(spark, d, "documents")).where(F.col("piece_no") == 1).select("doc_id")
 
@@ -41,7 +53,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p3_groups, p7_found, p7_pieces, p8_ids, p9_mix, p9_shares)
+    f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p3_groups, p4_found, p7_found, p7_pieces, p8_ids, p9_mix, p9_shares)
 }
 
 SQL: dict[str, str] = {
