@@ -98,7 +98,10 @@ def organisation(name: str) -> tuple[str, str] | None:
 
 
 def person(name: str) -> tuple[list[str], list[str], str] | None:
-    """(full words, initials, how) of a person's spelling; how: 'comma' or 'last' (surname first is known) or 'free'."""
+    """(full words, initials, how) of a person's spelling; how: 'comma' (the surname stands first) or 'free'.
+
+    A surname also stands first if it alone is in capitals.
+    """
     s = fold(name)
     if s in PLACEHOLDERS:
         return None
@@ -115,6 +118,9 @@ def person(name: str) -> tuple[list[str], list[str], str] | None:
         # several words before the comma are one surname
         n = len([w for w in parts[0] if len(w) > 1])
         full = ["".join(full[:n]), *full[n:]]
+    else:
+        raw = [w for w in _WORD.findall(name) if len(w) > 1 and fold(w) not in TITLES]
+        comma = len(raw) > 1 and raw[0].isupper() and not raw[-1].isupper()
     return full, initials, "comma" if comma else "free"
 
 
@@ -218,22 +224,27 @@ def _parsed(names: DataFrame) -> DataFrame:
 def people_parts(parsed: DataFrame, nicknames: DataFrame) -> DataFrame:
     """(name, surname, given, initial): given is null where only an initial is known.
 
-    Which of two words is the surname is told by a comma, or else by how many spellings have each word: given names
-    occur in more of them than surnames.
+    Which of two words is the surname is told by a comma or capitals, or else by the words' places in those spellings
+    where it is told, and in those with one word and an initial; without any such evidence the last word is.
     """
     p = parsed.where("field_name = 'people'").select("name", "words", "initials", "how")
-    word = p.select("name", F.posexplode("words").alias("at", "w"))
-    spread_ = word.groupBy("w").agg(F.count("*").alias("df"))
+    word = p.select("name", "how", F.size("words").alias("n"), F.size("initials").alias("m"), F.posexplode("words").alias("at", "w"))
+    first_place = (F.col("at") == 0) & ((F.col("how") == "comma") | ((F.col("n") == 1) & (F.col("m") > 0)))
+    told = word.groupBy("w").agg(
+        F.count_if(first_place).alias("s"), F.count_if((F.col("how") == "comma") & (F.col("at") > 0)).alias("g")
+    )
     nick = nicknames.where("nickname is not null and given_name is not null").select(
         F.lower(F.trim("nickname")).alias("w"), F.lower(F.trim("given_name")).alias("long")
-    ).groupBy("w").agg(F.min("long").alias("long"))
-    known = word.join(spread_, "w").join(nick, "w", "left")
-    ws = known.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("at", "w", "df", "long"))).alias("ws"))
+    )
+    nick = nick.union(nick.select("long", "long")).groupBy("w").agg(F.min("long").alias("long"))
+    lean = F.signum((F.col("g") - F.col("s")).cast("double")) + F.when(F.col("long").isNotNull(), 2).otherwise(0)
+    known = word.join(told, "w").join(nick, "w", "left").withColumn("lean", lean)  # above 0: a given name
+    ws = known.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("at", "w", "lean", "long"))).alias("ws"))
     p = p.drop("words").join(ws, "name")
     one = F.size("ws") == 1
     first, last = F.col("ws")[0], F.element_at("ws", -1)
-    reverse = (F.col("how") == "comma") | (last.long.isNotNull() & first.long.isNull()) | (
-        (last.df > first.df) & ~(first.long.isNotNull() & last.long.isNull())
+    reverse = (F.col("how") == "comma") | (
+        F.when(last.lean != first.lean, last.lean > first.lean).otherwise(F.lit(False))
     )
     surname = F.when(one | reverse, first.w).otherwise(last.w)
     given = F.when(one, F.lit(None)).when(reverse, F.coalesce(F.col("ws")[1].long, F.col("ws")[1].w)).otherwise(F.coalesce(first.long, first.w))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import canon, chunks, encode, names, neardup
+from corpuscle.llm import canon, chunks, encode, names, neardup, truncated
 from corpuscle.llm import mix as mixing
 from corpuscle.session import table
 
@@ -52,8 +52,16 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncated.found(table(spark, d, "documents"))
+
+
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    return truncated.shares(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p3_groups, p4_found, p7_found, p7_pieces, p8_ids, p9_mix, p9_shares)
+    f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p3_groups, p4_found, p7_found, p7_pieces, p8_ids, p9_mix, p9_shares, p10_found, p10_shares)
 }
 
 SQL: dict[str, str] = {
