@@ -94,6 +94,20 @@ def context_keys(codes: np.ndarray, seeds: np.ndarray, at: np.ndarray, wide: boo
                 yield ((h * U(0xD6E8FEB86659FD93)) & ~U(1)).view(np.int64)
 
 
+def every_context_key(codes: np.ndarray, seeds: np.ndarray, wanted: np.ndarray) -> Iterator[np.ndarray]:
+    """For each order, the keys of the contexts that end at the wanted places; all places are hashed in one sweep."""
+    n = len(codes)
+    h = seeds[WIDE:].copy()
+    keep = wanted[WIDE:]
+    with np.errstate(over="ignore"):
+        for k in range(ORDERS[-1]):
+            h ^= codes[WIDE - k : n - k]
+            h *= U(0x9E3779B97F4A7C15)
+            h ^= h >> U(29)
+            if k + 1 in ORDERS:
+                yield ((h[keep] * U(0xD6E8FEB86659FD93)) & ~U(1)).view(np.int64)
+
+
 class Block:
     """Some texts as one array of characters, with their stops."""
 
@@ -107,19 +121,28 @@ class Block:
         self.stops = (after == U(10)) & (self.codes != U(10))
         self.goes_on = ~self.stops & (self.codes != U(10))
         self.goes_on[:WIDE] = False
-        self.starts = [_word_key(w, x, c) for (_, x, c), p in zip(texts, plain) for w in _FIRST.findall(p)]
-        self.open_starts = [
+        self.texts, self.plain = texts, plain
+        marks = np.array([ord(c) for c in ".?!。！？｡"], np.uint64)
+        dots = (self.codes == U(46)) & (np.append(U(0), self.codes[:-1]) == U(46))
+        self.open_stops = np.flatnonzero(self.stops & (dots | ~np.isin(self.codes, marks)))
+
+
+    def starts(self) -> np.ndarray:
+        """Keys of the first words of all sentences."""
+        return np.array([_word_key(w, x, c) for (_, x, c), p in zip(self.texts, self.plain) for w in _FIRST.findall(p)], np.int64)
+
+    def open_starts(self) -> np.ndarray:
+        """Keys of the first words of the last sentences of lines without a closing mark."""
+        found = [
             _word_key(f[-1], x, c)
-            for (_, x, c), p in zip(texts, plain)
+            for (_, x, c), p in zip(self.texts, self.plain)
             for line in map(str.rstrip, p.split("\n"))
             if line and (line.endswith("..") or not CLOSED.search(line)) and (f := _FIRST.findall(line))
         ]
-        marks = np.array([ord(c) for c in ".?!。！？｡"], np.uint64)
-        dots = (self.codes == U(46)) & (np.append(U(0), self.codes[:-1]) == U(46))
-        self.open_stops = np.flatnonzero(self.stops & (dots | ~np.isin(self.codes, marks)))
+        return np.array(found, np.int64)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], chars: int = 1_000_000) -> Iterator[Block]:
+def _blocks(batches: Iterator[pa.RecordBatch], chars: int = 50_000) -> Iterator[Block]:
     held, size = [], 0
     for b in batches:
         for t, lang, col in zip(*(b.column(k) for k in range(3))):
@@ -141,18 +164,21 @@ def train(rows: DataFrame) -> bytes:
             found = list(context_keys(x.codes, x.seeds, x.open_stops, wide=True))
             wide, first = np.unique(found[-1], return_index=True)
             keys = np.stack([f[first] for f in found[:-1]], axis=1)
-            ends = pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(wide), pa.ListArray.from_arrays(ends, pa.array(keys.reshape(-1)))], names=["wide", "ks"])
-
-    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in _blocks(batches):
-            keys, n = np.unique(np.array(x.open_starts, np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], names=["k", "n"])
-
+            words, n = np.unique(x.open_starts(), return_counts=True)
+            # one row an end with its contexts, and one row a first word, whose number stands in place of the end's key
+            sizes = np.concatenate([np.full(len(keys), keys.shape[1]), np.ones(len(words), np.int64)])
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            ks = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([keys.reshape(-1), words])))
+            is_end = pa.array(np.arange(len(sizes)) < len(keys))
+            yield pa.RecordBatch.from_arrays([is_end, pa.array(np.concatenate([wide, n])), ks], names=["is_end", "x", "ks"])
+
+    found = rows.mapInArrow(stops, "is_end boolean, x long, ks array<long>")
+    both = found.groupBy("is_end", F.when(F.col("is_end"), F.col("x")).otherwise(F.col("ks")[0]).alias("g")).agg(
+        F.first("ks").alias("ks"), F.sum(F.when(F.col("is_end"), 0).otherwise(F.col("x"))).alias("n")
+    )
     # ends that are the same over WIDE characters come from copies and count once
-    once = rows.mapInArrow(stops, "wide long, ks array<long>").groupBy("wide").agg(F.first("ks").alias("ks"))
-    ends = once.select(F.explode("ks").alias("k"), F.lit(1).cast("long").alias("n"))
-    counted = ends.union(rows.mapInArrow(starts, "k long, n long")).groupBy("k").agg(F.sum("n").alias("n"))
+    counted = both.select(F.explode("ks").alias("k"), F.when(F.col("is_end"), 1).otherwise(F.col("n")).cast("long").alias("n"))
+    counted = counted.groupBy("k").agg(F.sum("n").alias("n"))
     kept = counted.where(F.col("n") >= LEAST)
     # a bound: the stops of one order are counted once each, so at most ONE_IN contexts of an order reach the share
     total = rows.mapInArrow(_count_stops, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
@@ -175,12 +201,12 @@ def train(rows: DataFrame) -> bytes:
         def add(found: np.ndarray) -> None:
             found = found[maybe[(found >> 5) & (len(maybe) - 1)]]
             i = np.minimum(np.searchsorted(own, found), len(own) - 1)
-            counts[:] += np.bincount(i[own[i] == found], minlength=len(own))
+            np.add.at(counts, i[own[i] == found], 1)
 
         for x in _blocks(batches):
-            for found in context_keys(x.codes, x.seeds, np.flatnonzero(x.goes_on)):
+            for found in every_context_key(x.codes, x.seeds, x.goes_on):
                 add(found)
-            add(np.array(x.starts, np.int64))
+            add(x.starts())
         blobs = [zlib.compress(p.tobytes(), 1) for p in np.array_split(counts, PARTS)]
         yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(blobs, pa.binary())], names=["part", "c"])
 
@@ -250,6 +276,14 @@ class Model:
         return own < (ODDS_OPEN if self.opens(text, lang, column) >= OPEN else ODDS)
 
 
+def bare_length(text: Column) -> Column:
+    """Characters of a text without white space at its end and what was put after a cut."""
+    blanks = F.lit(" \t\r\n\u00a0\u3000")
+    t = F.rtrim(text, blanks)
+    end = F.right(t, F.lit(64))  # longer than any mark
+    return F.char_length(t) - F.char_length(end) + F.char_length(F.rtrim(F.regexp_replace(end, MARK_SQL, ""), blanks))
+
+
 def limits(docs: DataFrame, text_col: str = "text", source_col: str = "source", least: int = 8, times: float = 6.0, part: float = 0.15) -> DataFrame:
     """(source, unit, size, n): field limits of sources, in characters or UTF-8 bytes.
 
@@ -257,10 +291,9 @@ def limits(docs: DataFrame, text_col: str = "text", source_col: str = "source",
     average, and these are ``part`` of all texts of the source of that size or more. Texts are counted as they are and
     without what was put after a cut. Only counts by (source, unit, size) are compared.
     """
-    bare = F.rtrim(F.regexp_replace(F.col(text_col), MARK_SQL, ""))
     size = lambda unit, s: F.struct(F.lit(unit).alias("unit"), s.alias("size"))
     sizes = F.array_distinct(F.array(
-        size("chars", F.char_length(text_col)), size("chars", F.char_length(bare)), size("bytes", F.octet_length(text_col))
+        size("chars", F.char_length(text_col)), size("chars", bare_length(F.col(text_col))), size("bytes", F.octet_length(text_col))
     ))
     sized = docs.where(F.col(text_col).isNotNull()).select(F.col(source_col).alias("source"), F.explode(sizes).alias("u"))
     sized = sized.where("u.size > 0").groupBy("source", "u.unit", "u.size").agg(F.count("*").alias("n"))
@@ -291,11 +324,10 @@ def judged(docs: DataFrame) -> DataFrame:
         F.collect_set(F.when(F.col("unit") == "chars", F.col("size"))).alias("chars"),
         F.collect_set(F.when(F.col("unit") == "bytes", F.col("size"))).alias("bytes"),
     )
-    bare = F.rtrim(F.regexp_replace("text", MARK_SQL, ""))
     fences = F.size(F.split("text", "(?m)^```|(?<=\\s)```")) % 2 == 0
     asked = docs.where(F.col("text").isNotNull()).select(
         "doc_id", "source", lang.alias("lang"), F.right("text", F.lit(1000)).alias("text"), F.when(has_main, "main_text").otherwise("title").alias("col"),
-        F.char_length("text").alias("n"), F.char_length(bare).alias("m"), F.octet_length("text").alias("b"), fences.alias("fences"),
+        F.char_length("text").alias("n"), bare_length(F.col("text")).alias("m"), F.octet_length("text").alias("b"), fences.alias("fences"),
     )
     at = F.array_contains("chars", F.col("n")) | F.array_contains("chars", F.col("m")) | F.exists(
         "bytes", lambda x: F.col("b").between(x - 3, x)
