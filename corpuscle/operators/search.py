@@ -22,8 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpuscle.session import spread
+
 #: Most entries (query, term) or numbers of one pass.
 ENTRIES = 20_000_000
+#: From so many entries (query, term) on, scoring a text costs far more than moving it, and few large files would leave
+#: cores idle; so the texts are spread evenly first.
+SPREAD_FROM = 10_000
 SCHEMA = "query_id long, doc_id long, score double"
 
 
@@ -97,6 +102,8 @@ def sparse_search(
     rows = entries.select("query_id", "term", F.col("weight").cast("double").alias("weight")).toArrow()
     if not rows.num_rows:
         return ranked(_empty(spark), k)
+    if rows.num_rows >= SPREAD_FROM:
+        docs = docs.repartition(spread(docs), "doc_id")
     query = rows.column("query_id").to_numpy()
     queries = np.unique(query)
     passes = -(-rows.num_rows // ENTRIES)

@@ -56,7 +56,8 @@ def vector_edges(v: DataFrame) -> DataFrame:
 
 
 def out(ranking: DataFrame) -> DataFrame:
-    return ranking.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    """Scores with six digits; halves go up, computed in the same way in any engine."""
+    return ranking.select("query_id", "doc_id", (F.floor(F.col("score") * 1e6 + 0.5) / 1e6).alias("score"), "rank")
 
 
 # --- retrieval --------------------------------------------------------------------------------------------------------

@@ -56,16 +56,16 @@ def top(scored: str, n: int, name: str = "r") -> str:
 {name} AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rk) AS rank FROM {name}0 WHERE doc_id <> query_id)"""
 
 
-OUT = "SELECT query_id, doc_id, round(score, 6) AS score, rank FROM r"
+OUT = "SELECT query_id, doc_id, floor(score * 1000000 + 0.5) / 1000000 AS score, rank FROM r"
 
 BM25 = f"""WITH {CORPUS}, {CANDIDATES},
-l AS (SELECT doc_id, {tokens('plain')} AS ts FROM s), st AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM l),
+l AS (SELECT doc_id, {tokens('plain')} AS ts FROM s), st AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM l), dl AS MATERIALIZED (SELECT doc_id, len(ts) AS len FROM l),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM l) GROUP BY ALL),
 raw AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf, st GROUP BY term, n),
 idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
 qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT doc_id AS query_id, unnest({tokens('plain')}) AS term FROM q) GROUP BY ALL),
-hit AS (SELECT query_id, tf.doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(ts) / avgdl))) AS score
-  FROM qt JOIN tf USING (term) JOIN idf USING (term) JOIN l ON l.doc_id = tf.doc_id, st GROUP BY ALL),
+hit AS (SELECT query_id, tf.doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))) AS score
+  FROM qt JOIN tf USING (term) JOIN idf USING (term) JOIN dl ON dl.doc_id = tf.doc_id, st GROUP BY ALL),
 asked AS (SELECT DISTINCT query_id FROM qt),
 sc AS (SELECT a.query_id, s.doc_id, round(coalesce(score, 0), 9) AS score FROM asked a CROSS JOIN s LEFT JOIN hit USING (query_id, doc_id)),
 {top('sc', K + 1)}"""
