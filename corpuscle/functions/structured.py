@@ -53,12 +53,12 @@ def field_values(c: Column, key: str) -> Column:
 def split_values(a: Column) -> Column:
     """Values trimmed, those with bars split at them, blank ones dropped."""
     parts = F.flatten(F.transform(F.filter(F.coalesce(a, F.array().cast(_TEXTS)), lambda x: x.isNotNull()), lambda s: F.split(s, "[|]")))
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def _path(c: Column, name: str, fields: tuple[str, ...]) -> Column:
     parts = [F.get_json_object(c, f"$.{name}.{f}") for f in fields]
-    return nonempty(F.transform(F.array(*parts), F.trim))
+    return nonempty(F.transform(F.array(*parts), lambda x: F.trim(x)))
 
 
 def flattened(c: Column) -> Column:
@@ -87,7 +87,7 @@ def paths(c: Column) -> Column:
     """
     errors = nonempty(F.from_json(F.get_json_object(c, "$.errors"), _TEXTS))
     of_dict = F.array(_path(c, "field_of_study_path", FIELD_PATH), _path(c, "method_path", METHOD_PATH), errors)
-    level = lambda s: nonempty(F.transform(F.split(F.replace(s, F.lit("\\"), F.lit("/")), "/"), F.trim))
+    level = lambda s: nonempty(F.transform(F.split(F.replace(s, F.lit("\\"), F.lit("/")), "/"), lambda x: F.trim(x)))
     items = F.filter(F.from_json(F.when(shape(c) == "list", c), _TEXTS), lambda x: x.isNotNull())
     of_list = F.transform(items, level)
     found = F.when(shape(c) == "dict", of_dict).when(shape(c) == "list", of_list).otherwise(F.array().cast("array<array<string>>"))
@@ -131,12 +131,12 @@ def parse_hierarchy(raw: Column) -> Column:
     merged (later keys win) and whose lists become affiliations. Errors: missing_hierarchy_info, JSONDecodeError,
     hierarchy_info_not_dict.
     """
-    text = F.trim(raw)
-    first = F.try_parse_json(text)
-    fixed = repaired(raw)
-    second = F.try_parse_json(fixed)
-    fragments = F.from_json(F.concat(F.lit("["), fixed, F.lit("]")), "array<string>")
-    several = F.try_parse_json(F.concat(F.lit("["), fixed, F.lit("]"))).isNotNull()
+    text, fixed = F.trim(raw), repaired(raw)
+    # a text is one JSON value if, in brackets, it is an array of one
+    within = lambda s: F.from_json(F.concat(F.lit("["), s, F.lit("]")), "array<string>")
+    first, second = (F.coalesce(F.size(within(s)) == 1, F.lit(False)) for s in (text, fixed))
+    fragments = within(fixed)
+    several = F.size(fragments) > 1
     merged = F.to_json(
         F.aggregate(
             fragments, F.create_map().cast("map<string,string>"),
@@ -151,8 +151,8 @@ def parse_hierarchy(raw: Column) -> Column:
     bad = lambda e: F.struct(F.lit(None).cast("string").alias("value"), F.lit(e).alias("error"))
     return (
         F.when(raw.isNull() | (text == ""), bad("missing_hierarchy_info"))
-        .when(first.isNotNull(), F.when(kind(text) == "{", good(text)).otherwise(not_dict))
-        .when(second.isNotNull(), F.when(kind(fixed) == "{", good(fixed)).otherwise(not_dict))
+        .when(first, F.when(kind(text) == "{", good(text)).otherwise(not_dict))
+        .when(second, F.when(kind(fixed) == "{", good(fixed)).otherwise(not_dict))
         .when(several, good(merged))
         .otherwise(bad("JSONDecodeError"))
     )

@@ -22,7 +22,11 @@ def cosine(a: Column, b: Column, epsilon: float = 0.0) -> Column:
 def weighted_mean(vectors: list[Column], weights: list[float]) -> Column:
     """The mean of several vectors of one length by fixed weights."""
     total = sum(weights)
+
+    def add(out: Column, v: Column, share: float) -> Column:
+        return F.zip_with(out, v, lambda a, b: a + b.cast("double") * share)
+
     out = F.transform(vectors[0], lambda x: x.cast("double") * (weights[0] / total))
     for v, w in zip(vectors[1:], weights[1:]):
-        out = F.zip_with(out, v, lambda a, b, w=w: a + b.cast("double") * (w / total))
+        out = add(out, v, w / total)
     return out

@@ -172,7 +172,7 @@ def shred_record(record: dict, graph: Graph) -> list[tuple[str, str, str | None,
             for pos, x in enumerate(v if isinstance(v, list) else [] if v is None else [v], 1):
                 x = unwrap(x) if graph.kinds.get(child, set()) & {"object"} else x
                 own = graph.tables[child]
-                rid = f"{row}/{name}.{pos}"
+                rid = f"{row}/{short}.{pos}"
                 new: dict[str, str] = {}
                 out.append((own, rid, table, row, child, pos, new))
                 if isinstance(x, dict):
