@@ -5,8 +5,8 @@ texts and lines stop there without a closing mark and how often they go on, per
 text the longest known context gives the log-odds of stopping; an end at which texts practically always go on was cut.
 
 Training is two passes over every text. The first counts the contexts of all open stops (ends of texts and lines without
-a closing mark) and keeps those of at least ``LEAST`` stops and one in ``ONE_IN`` of all stops, which bounds their
-number; complete endings without a mark recur, while cuts fall anywhere. The second counts at every place of every text
+a closing mark) and keeps those of at least ``LEAST`` stops (of the shortest, all) and one in ``ONE_IN`` of all stops,
+which bounds their number; complete endings without a mark recur, while cuts fall anywhere. The second counts at every place of every text
 whether a kept context goes on. Each task sends one compressed count vector over the kept contexts. One more kind of
 context is the first word of the last sentence: sentences that begin so may as a rule have no closing mark.
 
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 ORDERS, LEAST, ONE_IN = (2, 3, 4, 5, 6, 8, 10, 13), 3, 300_000
 #: Ends that are the same over so many characters are taken for copies.
 WIDE = 40
-#: A model of so many contexts knows enough for an unknown context to mean that no text stops so.
-ENOUGH = 3_000
+#: Contexts of at most SHORT characters are kept whatever their stops; they are believed from so many places on.
+SHORT, SUPPORT = 3, 20
 #: A text is cut if its log-odds of stopping are below these: as a rule; at a field limit or in an open code block; in a
 #: sentence that begins as open ones do; after something that is put after cuts.
 ODDS, ODDS_SIGNS, ODDS_OPEN, ODDS_MARKED = -3.4, -0.7, -6.0, -1.5
@@ -51,6 +51,8 @@ MARK_SQL = f"(?i)(?:{SURE}|{MAYBE})\\s*$"
 CLOSED = re.compile(r"(?:[.?!]|[。！？｡])[\"'”’»)\]）」』*_]*$")
 _DIGITS, _CODE, _URL = re.compile(r"\d"), re.compile(r"`[^`\n]{1,80}`"), re.compile(r"https?://\S+")
 _FIRST = re.compile(r"(?:^|(?<=[.?!]\s)|(?<=[。！？])|(?<=\n))[^\s]+")
+#: An end that is no text (encoded data); there is no word or sentence it could stop inside.
+_NO_WORD = re.compile(r"[!-~]{60,}$")
 U = np.uint64
 
 
@@ -79,6 +81,12 @@ def _word_key(word: str, lang: str, column: str) -> int:
     return int.from_bytes(zlib.crc32(w.encode("utf-8", "replace")).to_bytes(4, "big") + zlib.crc32(f"{w}|{column}|{lang}".encode("utf-8", "replace")).to_bytes(4, "big"), "big", signed=True) | 1
 
 
+def _marked(h: np.ndarray, order: int) -> np.ndarray:
+    """Keys of contexts are even; the second bit tells short ones."""
+    k = (h * U(0xD6E8FEB86659FD93)) & ~U(3)
+    return (k | U(2) if order <= SHORT else k).view(np.int64)
+
+
 def context_keys(codes: np.ndarray, seeds: np.ndarray, at: np.ndarray, wide: bool = False) -> Iterator[np.ndarray]:
     """For each order, and with ``wide`` for WIDE characters, the keys of the contexts that end at ``at``; even numbers.
 
@@ -91,7 +99,7 @@ def context_keys(codes: np.ndarray, seeds: np.ndarray, at: np.ndarray, wide: boo
             h *= U(0x9E3779B97F4A7C15)
             h ^= h >> U(29)
             if k + 1 in ORDERS or k + 1 == WIDE:
-                yield ((h * U(0xD6E8FEB86659FD93)) & ~U(1)).view(np.int64)
+                yield _marked(h, k + 1)
 
 
 def every_context_key(codes: np.ndarray, seeds: np.ndarray, wanted: np.ndarray) -> Iterator[np.ndarray]:
@@ -105,7 +113,7 @@ def every_context_key(codes: np.ndarray, seeds: np.ndarray, wanted: np.ndarray)
             h *= U(0x9E3779B97F4A7C15)
             h ^= h >> U(29)
             if k + 1 in ORDERS:
-                yield ((h[keep] * U(0xD6E8FEB86659FD93)) & ~U(1)).view(np.int64)
+                yield _marked(h[keep], k + 1)
 
 
 class Block:
@@ -179,7 +187,8 @@ def train(rows: DataFrame) -> bytes:
     # ends that are the same over WIDE characters come from copies and count once
     counted = both.select(F.explode("ks").alias("k"), F.when(F.col("is_end"), 1).otherwise(F.col("n")).cast("long").alias("n"))
     counted = counted.groupBy("k").agg(F.sum("n").alias("n"))
-    kept = counted.where(F.col("n") >= LEAST)
+    short = F.col("k").bitwiseAND(3) == 2
+    kept = counted.where((F.col("n") >= LEAST) | short)
     # a bound: the stops of one order are counted once each, so at most ONE_IN contexts of an order reach the share
     total = rows.mapInArrow(_count_stops, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     kept = kept.crossJoin(F.broadcast(total)).where(F.col("n") * ONE_IN >= F.col("total")).select("k", "n")
@@ -242,8 +251,11 @@ class Model:
         codes = _codes("\n" * (ORDERS[-1] + 1) + tail.casefold())
         seeds = np.full(len(codes), _seed(lang, column), np.uint64)
         for k in reversed([int(x[0]) for x in context_keys(codes, seeds, np.array([len(codes) - 1]))]):
-            if (i := self._at(k)) is not None and (stop := int(self.stop[i]) - own) >= LEAST - 1:
-                return float(np.log((stop + 0.1) / (int(self.on[i]) + 1.0)))
+            if (i := self._at(k)) is None:
+                continue
+            stop, on = int(self.stop[i]) - own, int(self.on[i])
+            if stop >= LEAST - 1 or (k & 3 == 2 and stop + on >= SUPPORT):
+                return float(np.log((max(0, stop) + 0.1) / (on + 1.0)))
         return None
 
     def opens(self, text: str, lang: str, column: str) -> float:
@@ -269,8 +281,8 @@ class Model:
             inner = self.odds(base, lang, column, 0)
             return bool(sure) or inner is None or inner < ODDS_MARKED
         own = self.odds(text, lang, column, 1)
-        if own is None:
-            return signs or (len(self.keys) >= ENOUGH and text[-1].isalpha())
+        if own is None or _NO_WORD.search(text):
+            return signs
         if signs:
             return own < ODDS_SIGNS
         return own < (ODDS_OPEN if self.opens(text, lang, column) >= OPEN else ODDS)
