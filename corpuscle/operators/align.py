@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpuscle.session import spread
+
 _TEXTS = "array<string>"
 
 
@@ -96,7 +98,8 @@ def numbered(rows: DataFrame, order: list[Column], offset: int = 0, out: str = "
     Range-partitioned: every partition numbers its own rows after the sum of the partitions before it, so no task ever
     holds all rows. The order should be total.
     """
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
+    # a given number of partitions is not changed at run time, so both uses below see the same ones
+    ranged = rows.repartitionByRange(spread(rows), *order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
     local = ranged.withColumn("__r", F.row_number().over(W.partitionBy("__p").orderBy(*order)))
     sizes = local.groupBy("__p").agg(F.count("*").alias("__n"))
     before = sizes.select("__p", F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__b"))

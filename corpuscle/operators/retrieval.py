@@ -163,3 +163,37 @@ def propagate(
     w = W.partitionBy("query_id").orderBy("h", "doc_id")
     top = state.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
     return without_self(top.select("query_id", "doc_id", (1 - F.col("h")).alias("score"), "rank"))
+
+
+def attention(
+    features: DataFrame, edges: DataFrame, weight: list[float], to: list[float], of: list[float], slope: float = 0.2
+) -> DataFrame:
+    """(query_id, doc_id, out): one graph attention layer from a number per node to ``len(weight)`` numbers.
+
+    ``features``: (query_id, doc_id, x); ``edges``: (src, dst), repetitions count. A node attends to its in-neighbours
+    and itself with a softmax over leaky-rectified scores; ``to`` and ``of`` are the attention vectors of receiver and
+    sender, ``weight`` is the linear map.
+    """
+    a_to, a_of = (sum(w * v for w, v in zip(weight, vec)) for vec in (to, of))
+    loops = features.select("query_id", F.col("doc_id").alias("dst"), F.col("x").alias("sent"))
+    sent = features.select("query_id", F.col("doc_id").alias("src"), F.col("x").alias("sent"))
+    every = loops.union(sent.join(edges.where("src <> dst").select("src", "dst"), "src").select("query_id", "dst", "sent"))
+    own = features.select("query_id", F.col("doc_id").alias("dst"), F.col("x").alias("own"))
+    score = F.lit(a_to) * F.col("own") + F.lit(a_of) * F.col("sent")
+    scored = every.join(own, ["query_id", "dst"]).withColumn("e", F.when(score > 0, score).otherwise(slope * score))
+    # the softmax in one aggregation: scores are shifted by their maximum, which a window finds first
+    shifted = scored.withColumn("p", F.exp(F.col("e") - F.max("e").over(W.partitionBy("query_id", "dst"))))
+    mean = shifted.groupBy("query_id", "dst").agg((F.sum(F.col("p") * F.col("sent")) / F.sum("p")).alias("m"))
+    return mean.select("query_id", F.col("dst").alias("doc_id"), F.array(*[F.lit(w) * F.col("m") for w in weight]).alias("out"))
+
+
+def attend(features: DataFrame, edges: DataFrame, first: dict, second: dict, k: int) -> DataFrame:
+    """The k smallest outputs of a two-layer attention network (one hidden layer, leaky-rectified) over distances.
+
+    ``first`` and ``second`` hold weight, to and of; the second layer's weight maps the hidden numbers to one.
+    """
+    hidden = attention(features, edges, **first)
+    leaky = F.transform("out", lambda v: F.when(v > 0, v).otherwise(0.01 * v))
+    folded = F.aggregate(F.zip_with(leaky, F.array(*map(F.lit, second["weight"])), lambda v, w: v * w), F.lit(0.0), lambda s, v: s + v)
+    one = attention(hidden.select("query_id", "doc_id", folded.alias("x")), edges, [1.0], second["to"], second["of"])
+    return without_self(ranked(one.select("query_id", "doc_id", F.round(-F.col("out")[0], 9).alias("score")), k))

@@ -59,24 +59,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, bytes_per_row: int = 0) -> int:
+def spread(df: DataFrame) -> int:
     """Partitions for a shuffle whose work is CPU-bound: never fewer than the cores of the session."""
     spark = df.sparkSession
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+#: Applications that have the package.
+_SHIPPED: set[str] = set()
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once a Spark application, so that they need no installed copy."""
     import zipfile
     from pathlib import Path
 
     sc = spark.sparkContext
-    if spark.conf.get("corpuscle.shipped", "") == sc.applicationId:
+    if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
-    path = Path(tempfile.mkdtemp(prefix="corpuscle-")) / "corpuscle.zip"
+    folder = Path(tempfile.mkdtemp(prefix="corpuscle-"))
+    path = folder / f"{folder.name}.zip"  # a name of its own: files of one name must have one content
     with zipfile.ZipFile(path, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, str(p.relative_to(root.parent)))
     sc.addPyFile(str(path))
-    spark.conf.set("corpuscle.shipped", sc.applicationId)
+    _SHIPPED.add(sc.applicationId)

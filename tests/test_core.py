@@ -248,3 +248,20 @@ def test_streaming_counts(spark, tmp_path):
     c.add(spark.createDataFrame([("3", 0, 1)], incremental.COUNTS), 7)
     c.add(spark.createDataFrame([("3", 0, 1)], incremental.COUNTS), 7)
     assert c.counts().where("key = '3'").first().there == 1 and incremental.orphans(c.counts()).count() == 0
+
+
+def test_attention_layer_equals_brute_force(spark):
+    x = {1: 0.2, 2: -0.5, 3: 0.9}
+    edges = [(1, 2), (3, 2), (3, 2), (2, 1)]
+    f = spark.createDataFrame([(9, i, v) for i, v in x.items()], "query_id long, doc_id long, x double")
+    e = spark.createDataFrame(edges, "src long, dst long")
+    w, to, of = [0.5, -1.0], [0.3, 0.2], [1.0, -0.4]
+    got = {r.doc_id: r.out for r in retrieval.attention(f, e, w, to, of).collect()}
+    for i in x:
+        sent = [x[i]] + [x[s] for s, d in edges if d == i]
+        score = [sum(p * q for p, q in zip(w, to)) * x[i] + sum(p * q for p, q in zip(w, of)) * s for s in sent]
+        p = [math.exp(s if s > 0 else 0.2 * s) for s in score]
+        m = sum(a * b for a, b in zip(p, sent)) / sum(p)
+        assert all(math.isclose(a, b * m) for a, b in zip(got[i], w))
+    net = {"weight": w, "to": to, "of": of}
+    assert retrieval.attend(f, e, net, {"weight": [1.0, 1.0], "to": [0.1], "of": [0.2]}, 3).count() == 3
