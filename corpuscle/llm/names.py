@@ -263,10 +263,12 @@ def _attach(full: DataFrame, short: DataFrame) -> DataFrame:
     near = cut(near_pairs(strings).where(one_error(F.col("a"), F.col("b"))))
     both = near.union(near.select("space", "b", "a")).union(strings.select("space", F.col("s").alias("a"), F.col("s").alias("b")))
     reach = both.join(have.select(space.alias("space"), F.col("surname").alias("b"), "entity"), ["space", "b"])
+    same = F.when(F.col("a") == F.col("b"), F.col("entity"))
+    # one entity if the least and the greatest are the same: no set of a common surname's entities is gathered
     reach = reach.groupBy("space", "a").agg(
-        F.collect_set("entity").alias("all"), F.collect_set(F.when(F.col("a") == F.col("b"), F.col("entity"))).alias("same")
+        F.min("entity").alias("least"), F.max("entity").alias("most"), F.min(same).alias("same_least"), F.max(same).alias("same_most")
     )
-    pick = F.when(F.size("all") == 1, F.col("all")[0]).when(F.size("same") == 1, F.col("same")[0])
+    pick = F.when(F.col("least") == F.col("most"), F.col("least")).when(F.col("same_least") == F.col("same_most"), F.col("same_least"))
     chosen = reach.select("space", F.col("a").alias("surname"), pick.alias("entity"), F.lit(True).alias("reached"))
     s = short.select("name", space.alias("space"), "surname")
     joined = s.join(chosen, ["space", "surname"], "left")
