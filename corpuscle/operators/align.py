@@ -166,3 +166,17 @@ def valid_qrels(long: DataFrame, ids: DataFrame) -> DataFrame:
     return long.join(ids.withColumnRenamed("id", "query_id"), "query_id", "left_semi").join(
         ids.withColumnRenamed("id", "candidate_id"), "candidate_id", "left_semi"
     )
+
+
+def of_relations(long: DataFrame, relations: list[str], only_linked: bool = False) -> DataFrame:
+    """Judgments of some relation types, or with ``only_linked`` of linked issues only; all if none is named."""
+    kinds = ["linked_issue"] if only_linked else relations
+    return long.where(F.col("relation_type").isin(*kinds)) if kinds else long
+
+
+def trainable(long: DataFrame, ids: DataFrame, every: bool = True) -> DataFrame:
+    """(query_id) of known queries whose candidates are all known, or with ``every`` off at least one of them."""
+    known = ids.withColumnRenamed("id", "candidate_id").withColumn("known", F.lit(True)).distinct()
+    q = long.join(ids.withColumnRenamed("id", "query_id"), "query_id", "left_semi").join(known, "candidate_id", "left")
+    fold = F.bool_and if every else F.bool_or
+    return q.groupBy("query_id").agg(fold(F.coalesce("known", F.lit(False))).alias("ok")).where("ok").select("query_id")

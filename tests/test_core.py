@@ -265,3 +265,23 @@ def test_attention_layer_equals_brute_force(spark):
         assert all(math.isclose(a, b * m) for a, b in zip(got[i], w))
     net = {"weight": w, "to": to, "of": of}
     assert retrieval.attend(f, e, net, {"weight": [1.0, 1.0], "to": [0.1], "of": [0.2]}, 3).count() == 3
+
+
+def test_judgment_selection(spark):
+    long = spark.createDataFrame([("1", "2", "citation"), ("1", "9", "citation"), ("2", "1", "linked_issue"), ("8", "1", "citation")], "query_id string, candidate_id string, relation_type string")
+    ids = spark.createDataFrame([("1",), ("2",)], "id string")
+    assert align.of_relations(long, []).count() == 4 and align.of_relations(long, ["citation"]).count() == 3
+    assert [r.query_id for r in align.of_relations(long, ["citation"], True).collect()] == ["2"]
+    assert {r.query_id for r in align.trainable(long, ids).collect()} == {"2"}
+    assert {r.query_id for r in align.trainable(long, ids, every=False).collect()} == {"1", "2"}
+    assert align.valid_qrels(long, ids).count() == 2
+
+
+def test_requests(spark):
+    from corpuscle.operators import requests
+
+    p = spark.createDataFrame([("1", "T {x}", None, ["a", "b"], None)], "id string, title string, main_text string, organizations array<string>, topics array<string>")
+    f = requests.paper_fields(p)
+    assert f.first().affiliations == "a;b" and f.first().topics == ""
+    line = requests.request_lines(f, "id", requests.prompt('{"t": "{title}"} {abstract}', "title", "abstract"), "m").first()
+    assert json.loads(line.value)["body"] == {"model": "m", "input": '{"t": "T {x}"} '}
