@@ -182,14 +182,16 @@ class Mapper:
             for key, (penalty, kind) in spellings(raw).items():
                 self.keys.setdefault(key, []).append((penalty, line, path, kind))
         plain = [k for k, v in self.keys.items() if any(kind != "broken" for *_, kind in v)]
+        self.longest = max(map(len, self.keys), default=0)
         self.tree, self.broken = BKTree(plain), BKTree([k for k, v in self.keys.items() if any(x[3] == "broken" for x in v)])
 
-    @staticmethod
-    def views(raw: str) -> list[tuple[str, float, bool]]:
+    def views(self, raw: str) -> list[tuple[str, float, bool]]:
         """(folded key, penalty, whether a word is marked as broken off) of a typed value."""
         s = tidy(raw)
         ws = _WORD.findall(s)
-        if not ws:
+        # no key is within reach of a far longer value, with or without its first word
+        sizes = [sum(map(len, ws)), sum(map(len, ws[1:]))]
+        if not ws or min(n for n in sizes if n) > self.longest + threshold(self.longest):
             return []
         marked = bool(_BROKEN.search(s))
         texts = [(s, 0.0)]
@@ -238,7 +240,7 @@ class Mapper:
             if found is not None and found[0] < 1:
                 continue
             k = threshold(len(key))
-            if k:
+            if k and len(key) <= self.longest + k:
                 for d, near in self.tree.within(key, k + 1):
                     self.check(key, near, d, penalty, ("whole", "bare"), offer)
                 if marked:
