@@ -91,15 +91,16 @@ def superminhash(sets: list[np.ndarray], places: int = PLACES) -> np.ndarray:
         return sig
     el = np.concatenate(sets)
     doc = np.repeat(np.arange(n), [len(s) for s in sets])
-    order = np.tile(np.arange(places, dtype=np.uint16), (len(el), 1))
-    flat = sig.reshape(-1)
+    flat, order = sig.reshape(-1), None
     with np.errstate(over="ignore"):
         for j in range(places):
             g = mix(el + U(j * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF))
             at = (g % U(places - j)).astype(np.int64) + j
             rows = np.arange(len(el))
-            place = order[rows, at]
-            order[rows, at] = order[:, j]
+            place = at
+            if j:
+                place = order[rows, at]
+                order[rows, at] = order[:, j]
             offer = (U(j) << U(48)) | (mix(g) >> U(16))
             np.minimum.at(flat, doc * places + place, offer)
             open_ = (sig == _EMPTY).any(axis=1)
@@ -107,7 +108,12 @@ def superminhash(sets: list[np.ndarray], places: int = PLACES) -> np.ndarray:
                 break
             live = open_[doc]
             if not live.all():
-                el, doc, order = el[live], doc[live], order[live]
+                el, doc = el[live], doc[live]
+                order = order[live] if j else None
+            if not j:
+                # permutations are held only for the texts that the first step left open, which are never large ones
+                order = np.tile(np.arange(places, dtype=np.uint8 if places <= 256 else np.uint16), (len(el), 1))
+                order[np.arange(len(el)), at[live]] = 0
     return sig
 
 
