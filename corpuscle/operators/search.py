@@ -41,11 +41,21 @@ class Best:
         self.doc = np.empty((len(queries), 0), np.int64)
 
     def offer(self, docs: np.ndarray, scores: np.ndarray) -> None:
-        """``scores``: documents x queries."""
-        score = np.concatenate([self.score, np.round(scores.T, 9) + 0.0], axis=1)
-        doc = np.concatenate([self.doc, np.broadcast_to(docs, (len(self.queries), len(docs)))], axis=1)
-        order = np.lexsort((doc, -score))[:, : self.k]
-        self.score, self.doc = np.take_along_axis(score, order, 1), np.take_along_axis(doc, order, 1)
+        """``scores``: documents x queries. Only scores that may be among the k best, ties included, are sorted."""
+        new, (nq, held), n = np.round(scores.T, 9) + 0.0, self.score.shape, len(docs)
+        keep = np.ones(new.shape, bool)
+        if n > self.k:
+            keep = new >= np.partition(new, n - self.k, axis=1)[:, n - self.k, None]
+        if held == self.k:
+            keep &= new >= self.score[:, -1:]
+        at, which = np.nonzero(keep)
+        q = np.concatenate([np.repeat(np.arange(nq), held), at])
+        score = np.concatenate([self.score.reshape(-1), new[at, which]])
+        doc = np.concatenate([self.doc.reshape(-1), docs[which]])
+        order = np.lexsort((doc, -score, q))
+        starts = np.searchsorted(q[order], np.arange(nq))
+        first = order[(np.arange(len(order)) - starts[q[order]]) < self.k]
+        self.score, self.doc = score[first].reshape(nq, -1), doc[first].reshape(nq, -1)
 
     def batch(self) -> pa.RecordBatch:
         n = self.doc.shape[1]
