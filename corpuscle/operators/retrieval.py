@@ -146,10 +146,11 @@ def propagate(
     distance from their vectors. ``edges``: (src, dst). In every round the ``seeds`` nearest send their distance along
     their edges; a receiver takes alpha of its own and the rest of the least message.
     """
-    state = cut(start.select("query_id", "doc_id", F.round(1 - F.col("score"), 9).alias("h")))
+    # repeated rows of an id count once: they would multiply in every round
+    state = cut(start.groupBy("query_id", "doc_id").agg(F.round(1 - F.max("score"), 9).alias("h")))
     links = cut(edges.select("src", "dst").distinct())
-    dv = docs.select(F.col("doc_id").alias("dst"), F.col(vector).alias("v"))
-    qv = queries.select(F.col("doc_id").alias("query_id"), F.col(vector).alias("qv"))
+    dv = docs.select(F.col("doc_id").alias("dst"), F.col(vector).alias("v")).dropDuplicates(["dst"])
+    qv = queries.select(F.col("doc_id").alias("query_id"), F.col(vector).alias("qv")).dropDuplicates(["query_id"])
     for a in alphas:
         w = W.partitionBy("query_id").orderBy("h", "doc_id")
         s = state.withColumn("r", F.row_number().over(w)).where(F.col("r") <= seeds)
