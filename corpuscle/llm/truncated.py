@@ -5,9 +5,9 @@ texts and lines stop there without a closing mark and how often they go on, per
 text the longest known context gives the log-odds of stopping; an end at which texts practically always go on was cut.
 
 Training is two passes over every text. The first counts the contexts of all open stops (ends of texts and lines without
-a closing mark) and keeps those of at least ``LEAST`` stops (of the shortest, all) and one in ``ONE_IN`` of all stops,
-which bounds their number; complete endings without a mark recur, while cuts fall anywhere. The second counts at every place of every text
-whether a kept context goes on. Each task sends one compressed count vector over the kept contexts. One more kind of
+a closing mark) and keeps all of at most ``SHORT`` characters, whose number the alphabet bounds, and the longer ones of at
+least ``LEAST`` stops and one in ``ONE_IN`` of the stops of their language and column, which bounds theirs; complete endings
+without a mark recur, while cuts fall anywhere. The second counts at every place of every text whether a kept context goes on. Each task sends one compressed count vector over the kept contexts. One more kind of
 context is the first word of the last sentence: sentences that begin so may as a rule have no closing mark.
 
 What was put after a cut (an ellipsis, a hyphen, "[more]", a broken character) is taken off first; an ellipsis or hyphen
@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Lengths of contexts; least stops of a kept context; a kept context has at least one in ONE_IN of all stops.
+#: Lengths of contexts; least stops of a kept context; a kept context has at least one in ONE_IN of the stops of its language
+#: and column. Both are for contexts of more than SHORT characters.
 ORDERS, LEAST, ONE_IN = (2, 3, 4, 5, 6, 8, 10, 13), 3, 300_000
 #: Ends that are the same over so many characters are taken for copies.
 WIDE = 40
@@ -140,14 +141,14 @@ class Block:
         return np.array([_word_key(w, x, c) for (_, x, c), p in zip(self.texts, self.plain) for w in _FIRST.findall(p)], np.int64)
 
     def open_starts(self) -> np.ndarray:
-        """Keys of the first words of the last sentences of lines without a closing mark."""
+        """Keys of the first words of the last sentences of lines without a closing mark, each with its text's seed."""
         found = [
-            _word_key(f[-1], x, c)
+            (_word_key(f[-1], x, c), _seed(x, c))
             for (_, x, c), p in zip(self.texts, self.plain)
             for line in map(str.rstrip, p.split("\n"))
             if line and (line.endswith("..") or not CLOSED.search(line)) and (f := _FIRST.findall(line))
         ]
-        return np.array(found, np.int64)
+        return np.array(found, np.int64).reshape(-1, 2)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], chars: int = 50_000) -> Iterator[Block]:
@@ -172,28 +173,29 @@ def train(rows: DataFrame) -> bytes:
             found = list(context_keys(x.codes, x.seeds, x.open_stops, wide=True))
             wide, first = np.unique(found[-1], return_index=True)
             keys = np.stack([f[first] for f in found[:-1]], axis=1)
-            words, n = np.unique(x.open_starts(), return_counts=True)
+            starts = x.open_starts()
+            words, at, n = np.unique(starts[:, 0], return_index=True, return_counts=True)
             # one row an end with its contexts, and one row a first word, whose number stands in place of the end's key
             sizes = np.concatenate([np.full(len(keys), keys.shape[1]), np.ones(len(words), np.int64)])
             ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
             ks = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([keys.reshape(-1), words])))
             is_end = pa.array(np.arange(len(sizes)) < len(keys))
-            yield pa.RecordBatch.from_arrays([is_end, pa.array(np.concatenate([wide, n])), ks], names=["is_end", "x", "ks"])
+            seeds = np.concatenate([x.seeds[x.open_stops][first].view(np.int64), starts[at, 1]])
+            yield pa.RecordBatch.from_arrays([is_end, pa.array(np.concatenate([wide, n])), ks, pa.array(seeds)], names=["is_end", "x", "ks", "s"])
 
-    found = rows.mapInArrow(stops, "is_end boolean, x long, ks array<long>")
+    found = rows.mapInArrow(stops, "is_end boolean, x long, ks array<long>, s long")
     both = found.groupBy("is_end", F.when(F.col("is_end"), F.col("x")).otherwise(F.col("ks")[0]).alias("g")).agg(
-        F.first("ks").alias("ks"), F.sum(F.when(F.col("is_end"), 0).otherwise(F.col("x"))).alias("n")
+        F.first("ks").alias("ks"), F.first("s").alias("s"), F.sum(F.when(F.col("is_end"), 0).otherwise(F.col("x"))).alias("n")
     )
     # ends that are the same over WIDE characters come from copies and count once
-    counted = both.select(F.explode("ks").alias("k"), F.when(F.col("is_end"), 1).otherwise(F.col("n")).cast("long").alias("n"))
-    counted = counted.groupBy("k").agg(F.sum("n").alias("n"))
+    counted = both.select(F.explode("ks").alias("k"), "s", F.when(F.col("is_end"), 1).otherwise(F.col("n")).cast("long").alias("n"))
+    counted = counted.groupBy("k").agg(F.sum("n").alias("n"), F.first("s").alias("s"))
     short = F.col("k").bitwiseAND(3) == 2
-    kept = counted.where((F.col("n") >= LEAST) | short)
     # a bound: no order has more stops than there are lines, so at most ONE_IN contexts of an order reach the share
     lines = F.char_length("txt") - F.char_length(F.replace(F.col("txt"), F.lit("\n"), F.lit(""))) + 1
-    total = rows.agg(F.coalesce(F.sum(lines), F.lit(0)).alias("total"))
-    kept = kept.crossJoin(F.broadcast(total)).where(F.col("n") * ONE_IN >= F.col("total")).select("k", "n")
-    table = kept.toArrow()
+    totals = rows.groupBy((F.crc32(F.concat_ws("|", "col", "lang")) * 65536).alias("s")).agg(F.sum(lines).alias("total"))  # s as in _seed
+    kept = counted.where((F.col("n") >= LEAST) | short).join(F.broadcast(totals), "s")
+    table = kept.where(short | (F.col("n") * ONE_IN >= F.col("total"))).select("k", "n").toArrow()
     keys = table.column("k").to_numpy()
     order = np.argsort(keys)
     keys, n_stops = keys[order], table.column("n").to_numpy()[order]

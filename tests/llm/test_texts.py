@@ -3,6 +3,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -129,6 +130,32 @@ def test_truncation_on_held_out_cases(spark):
     assert share.texts == 1500 and share.cut_texts == len(found)
 
 
+ROWS = "txt string, lang string, col string"
+
+
+def known(model, text, lang="en"):
+    """The orders of the contexts of this end that the model has."""
+    codes = truncated._codes("\n" * (truncated.WIDE + 1) + text.casefold())
+    seeds = np.full(len(codes), truncated._seed(lang, "main_text"), np.uint64)
+    keys = truncated.context_keys(codes, seeds, np.array([len(codes) - 1]))
+    return [n for n, k in zip(truncated.ORDERS, keys) if model._at(int(k[0])) is not None]
+
+
+def test_short_contexts_are_kept_in_large_inputs(spark, monkeypatch):
+    monkeypatch.setattr(truncated, "ONE_IN", 20)
+    rows = [(f"Report {WORDS[i % 16]} {WORDS[i // 16]}", "en", "main_text") for i in range(200)] + [("The quick brown foxq", "en", "main_text")]
+    model = truncated.Model(truncated.train(spark.createDataFrame(rows, ROWS)))
+    assert known(model, "The quick brown foxq") == [2, 3]
+
+
+def test_share_of_stops_is_by_language(spark, monkeypatch):
+    monkeypatch.setattr(truncated, "ONE_IN", 20)
+    rows = [(f"Report {i} of the {WORDS[i % 16]}", "en", "main_text") for i in range(400)]
+    rows += [(f"{WORDS[i]} {WORDS[-i]}, mit freundlichen Gruessen", "de", "main_text") for i in range(8)]
+    model = truncated.Model(truncated.train(spark.createDataFrame(rows, ROWS)))
+    assert known(model, rows[-1][0], "de") == list(truncated.ORDERS)
+
+
 def test_truncation_of_odd_tables(spark):
     schema = "doc_id long, source string, lang string, title string, main_text string, text string, is_cut int"
     df = spark.createDataFrame([(1, None, None, None, None, None, 0), (2, "s", "x", "", "", "", 0), (3, "s", "EN-x", "t", " ", "t", 0), (4, "s", "en", "t", "Done.", "t\n\nDone.", 0)], schema)
