@@ -4,12 +4,17 @@ A backward character n-gram model: for the last n characters before a place of a
 texts and lines stop there without a closing mark and how often they go on, per language and column. For the end of a
 text the longest known context gives the log-odds of stopping; an end at which texts practically always go on was cut.
 
-Training is two passes over every text. The first counts the contexts of all open stops (ends of texts and lines without
+Training is two passes over every distinct text; texts that are equal count once, in stops and in goings-on. The first counts the contexts of all open stops (ends of texts and lines without
 a closing mark) and keeps all of at most ``SHORT`` characters, whose number the alphabet bounds, and the longer ones of at
 least ``LEAST`` stops and one in ``ONE_IN`` of the stops of their language and column, which bounds theirs; complete endings
 without a mark recur, while cuts fall anywhere. The second counts at every place of every text whether a kept context goes on. Each task sends one compressed count vector over the kept contexts. One more kind of
 context is the first word of the last sentence: sentences that begin so may as a rule have no closing mark.
 
+Texts that were cut and then copied with changes end alike as complete texts with a common last line do. They differ in
+what stands before: an ending of ``WIDE`` characters recurs, and counts at each of its stops, if at least ``LEAST``
+different texts of ``FAR`` characters end so or if at least some ``MANY`` differently beginning texts have it; else it
+counts once.
+
 What was put after a cut (an ellipsis, a hyphen, "[more]", a broken character) is taken off first; an ellipsis or hyphen
 only if sentences with that first word do not end so as a rule. Two further signs lower the threshold: a text as long as a field limit of its
 source (a size that far more texts share than the sizes around it, and a large part of all texts of at least that
@@ -33,8 +38,9 @@ from pyspark.sql import functions as F
 #: Lengths of contexts; least stops of a kept context; a kept context has at least one in ONE_IN of the stops of its language
 #: and column. Both are for contexts of more than SHORT characters.
 ORDERS, LEAST, ONE_IN = (2, 3, 4, 5, 6, 8, 10, 13), 3, 300_000
-#: Ends that are the same over so many characters are taken for copies.
-WIDE = 40
+#: Ends that are the same over WIDE characters come from copies, unless they differ over FAR characters or their texts begin
+#: with MANY (as counted in 64 bits) different runs of WIDE characters.
+WIDE, FAR, MANY = 40, 200, 16
 #: Contexts of at most SHORT characters are kept whatever their stops; they are believed from so many places on.
 SHORT, SUPPORT = 3, 20
 #: A text is cut if its log-odds of stopping are below these: as a rule; at a field limit or in an open code block; in a
@@ -134,7 +140,19 @@ class Block:
         marks = np.array([ord(c) for c in ".?!。！？｡"], np.uint64)
         dots = (self.codes == U(46)) & (np.append(U(0), self.codes[:-1]) == U(46))
         self.open_stops = np.flatnonzero(self.stops & (dots | ~np.isin(self.codes, marks)))
+        self.ends = np.cumsum([len(p) for p in parts])
+
+    def evidence(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each open stop the hash of the FAR characters that end there and a bit for the beginning of its text."""
+        import xxhash
 
+        hashed, raw = xxhash.xxh3_64_intdigest, memoryview(self.codes).cast("B")
+        begins = np.append(0, self.ends[:-1]) + WIDE + 1
+        bits = np.array([1 << (hashed(raw[8 * a : 8 * min(a + WIDE, b)]) & 63) for a, b in zip(begins, self.ends)], np.uint64)
+        text = np.searchsorted(self.ends, self.open_stops, "right")
+        starts = np.maximum(begins[text], self.open_stops - FAR + 1)
+        far = [hashed(raw[8 * a : 8 * b]) for a, b in zip(starts.tolist(), (self.open_stops + 1).tolist())]
+        return np.array(far, np.uint64).view(np.int64), bits[text].view(np.int64)
 
     def starts(self) -> np.ndarray:
         """Keys of the first words of all sentences."""
@@ -165,35 +183,50 @@ def _blocks(batches: Iterator[pa.RecordBatch], chars: int = 50_000) -> Iterator[
         yield Block(held)
 
 
+def distinct_texts(rows: DataFrame) -> DataFrame:
+    """(txt, lang, col) without copies; copies are dropped before they are shuffled where they meet."""
+    same = [F.xxhash64("txt").alias("h"), F.xxhash64(F.lit(1), F.col("txt")).alias("i")]
+    return rows.groupBy("lang", "col", *same).agg(F.first("txt").alias("txt")).select("txt", "lang", "col")
+
+
 def train(rows: DataFrame) -> bytes:
     """The model: kept keys with their stops and goings-on, compressed. ``rows`` has (txt, lang, col)."""
+    rows = distinct_texts(rows)
 
     def stops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _blocks(batches):
             found = list(context_keys(x.codes, x.seeds, x.open_stops, wide=True))
-            wide, first = np.unique(found[-1], return_index=True)
-            keys = np.stack([f[first] for f in found[:-1]], axis=1)
+            far, bits = x.evidence()
+            order = np.lexsort((far, found[-1]))
+            wide, far = found[-1][order], far[order]
+            first = np.flatnonzero(np.append(True, (wide[1:] != wide[:-1]) | (far[1:] != far[:-1]))[: len(wide)])
+            keys = np.stack([f[order[first]] for f in found[:-1]], axis=1)
             starts = x.open_starts()
             words, at, n = np.unique(starts[:, 0], return_index=True, return_counts=True)
-            # one row an end with its contexts, and one row a first word, whose number stands in place of the end's key
+            # one row an end with its contexts, and one row a first word
             sizes = np.concatenate([np.full(len(keys), keys.shape[1]), np.ones(len(words), np.int64)])
             ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
             ks = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([keys.reshape(-1), words])))
-            is_end = pa.array(np.arange(len(sizes)) < len(keys))
-            seeds = np.concatenate([x.seeds[x.open_stops][first].view(np.int64), starts[at, 1]])
-            yield pa.RecordBatch.from_arrays([is_end, pa.array(np.concatenate([wide, n])), ks, pa.array(seeds)], names=["is_end", "x", "ks", "s"])
-
-    found = rows.mapInArrow(stops, "is_end boolean, x long, ks array<long>, s long")
-    both = found.groupBy("is_end", F.when(F.col("is_end"), F.col("x")).otherwise(F.col("ks")[0]).alias("g")).agg(
-        F.first("ks").alias("ks"), F.first("s").alias("s"), F.sum(F.when(F.col("is_end"), 0).otherwise(F.col("x"))).alias("n")
-    )
-    # ends that are the same over WIDE characters come from copies and count once
-    counted = both.select(F.explode("ks").alias("k"), "s", F.when(F.col("is_end"), 1).otherwise(F.col("n")).cast("long").alias("n"))
+            none = np.zeros(len(words), np.int64)
+            columns = {
+                "is_end": np.arange(len(sizes)) < len(keys), "x": np.concatenate([wide[first], words]), "far": np.concatenate([far[first], none]),
+                "begins": np.concatenate([np.bitwise_or.reduceat(bits[order], first) if len(first) else none[:0], none]),
+                "n": np.concatenate([np.diff(np.append(first, len(wide))), n]), "ks": ks,
+                "s": np.concatenate([x.seeds[x.open_stops][order[first]].view(np.int64), starts[at, 1]]),
+            }
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
+
+    found = rows.mapInArrow(stops, "is_end boolean, x long, far long, begins long, n long, ks array<long>, s long")
+    same = [F.first("ks").alias("ks"), F.first("s").alias("s"), F.sum("n").alias("n"), F.bit_or("begins").alias("begins")]
+    both = found.groupBy("is_end", "x", "far").agg(*same).groupBy("is_end", "x").agg(*same, F.count("*").alias("fars"))
+    recurs = ~F.col("is_end") | (F.col("fars") >= LEAST) | (F.bit_count("begins") >= MANY)
+    both = both.select("is_end", "ks", "s", F.when(recurs, F.col("n")).otherwise(1).cast("long").alias("n"))
+    counted = both.select(F.explode("ks").alias("k"), "s", "n")
     counted = counted.groupBy("k").agg(F.sum("n").alias("n"), F.first("s").alias("s"))
     short = F.col("k").bitwiseAND(3) == 2
-    # a bound: no order has more stops than there are lines, so at most ONE_IN contexts of an order reach the share
-    lines = F.char_length("txt") - F.char_length(F.replace(F.col("txt"), F.lit("\n"), F.lit(""))) + 1
-    totals = rows.groupBy((F.crc32(F.concat_ws("|", "col", "lang")) * 65536).alias("s")).agg(F.sum(lines).alias("total"))  # s as in _seed
+    # a bound: each order has every stop once, so at most ONE_IN contexts of an order reach the share; the total is taken over
+    # the short orders, without a filter, as then the counts are made once for both sides of the join
+    totals = counted.groupBy("s").agg((F.sum(F.when(short, F.col("n")).otherwise(0)) / sum(n <= SHORT for n in ORDERS)).alias("total"))
     kept = counted.where((F.col("n") >= LEAST) | short).join(F.broadcast(totals), "s")
     table = kept.where(short | (F.col("n") * ONE_IN >= F.col("total"))).select("k", "n").toArrow()
     keys = table.column("k").to_numpy()

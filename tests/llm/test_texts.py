@@ -156,6 +156,41 @@ def test_share_of_stops_is_by_language(spark, monkeypatch):
     assert known(model, rows[-1][0], "de") == list(truncated.ORDERS)
 
 
+def sentences(rng, n):
+    return " ".join(" ".join(rng.choice(WORDS) for _ in range(8)).capitalize() + "." for _ in range(n))
+
+
+def found_in(spark, texts):
+    rows = [(i, "src", "en", None, t, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, title string, main_text string, text string")
+    return {r.doc_id for r in truncated.found(df).collect()}
+
+
+@pytest.mark.parametrize("size", [1, 8])
+def test_a_shared_closing_line_is_complete(spark, size):
+    rng = random.Random(7)
+    closing = "\n\n" + "sent by the reader of the stream folder and the record buffer " * size + "from the window"
+    texts = [sentences(rng, 6) + (closing if i % 3 == 0 else "") for i in range(300)]
+    assert found_in(spark, texts) == set()
+
+
+def test_copies_of_a_cut_text_stay_cut(spark):
+    rng = random.Random(8)
+    texts = [sentences(rng, 6) for _ in range(300)]
+    cut = sentences(rng, 6) + " Parser engine buffer network window server rec"
+    near = [f"{w} {cut}" for w in WORDS[:6]]
+    assert found_in(spark, texts + [cut] * 50 + near) == set(range(300, 356))
+
+
+def test_copies_raise_neither_stops_nor_goings_on(spark):
+    rng = random.Random(9)
+    rows = [(sentences(rng, 3) + "\n\nBest regards", "en", "main_text") for _ in range(40)]
+    once = truncated.Model(truncated.train(spark.createDataFrame(rows, ROWS)))
+    often = truncated.Model(truncated.train(spark.createDataFrame(rows + rows[:1] * 60, ROWS)))
+    assert (once.keys == often.keys).all() and (once.stop == often.stop).all() and (once.on == often.on).all()
+    assert once.odds(rows[0][0], "en", "main_text", 1) > 0
+
+
 def test_truncation_of_odd_tables(spark):
     schema = "doc_id long, source string, lang string, title string, main_text string, text string, is_cut int"
     df = spark.createDataFrame([(1, None, None, None, None, None, 0), (2, "s", "x", "", "", "", 0), (3, "s", "EN-x", "t", " ", "t", 0), (4, "s", "en", "t", "Done.", "t\n\nDone.", 0)], schema)
