@@ -48,6 +48,10 @@ SHORT, SUPPORT = 3, 20
 ODDS, ODDS_SIGNS, ODDS_OPEN, ODDS_MARKED = -3.4, -0.7, -6.0, -1.5
 #: From this part of sentences without closing mark on, a first word makes open sentences.
 OPEN = 0.4
+#: Marks and encoded data are looked for in so many last characters; the lines before the last one are passed on as far as they
+#: touch as many. White space as Python has it.
+END = 1000
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 #: Parts of the count vector that are summed separately.
 PARTS = 16
 #: What is put after a cut (fixed values): the first kind always, the second only if such sentences do not end so as a rule.
@@ -276,7 +280,12 @@ class Model:
 
     def odds(self, text: str, lang: str, column: str, own: int) -> float | None:
         """Log-odds of stopping at this end, by the longest context known; ``own`` stops are left out of the counts."""
-        tail = normal(text[-200:]).rstrip()
+        text, at = text.replace("\r\n", "\n").replace("\r", "\n"), len(text) - ORDERS[-1]
+        while True:  # whole lines, as addresses and code are folded within lines
+            at = text.rfind("\n", 0, max(0, at))
+            tail = normal(text[at + 1 :]).rstrip()
+            if at < 0 or len(tail) > ORDERS[-1]:
+                break
         codes = _codes("\n" * (ORDERS[-1] + 1) + tail.casefold())
         seeds = np.full(len(codes), _seed(lang, column), np.uint64)
         for k in reversed([int(x[0]) for x in context_keys(codes, seeds, np.array([len(codes) - 1]))]):
@@ -289,32 +298,40 @@ class Model:
 
     def opens(self, text: str, lang: str, column: str) -> float:
         """The part of the sentences with this last sentence's first word that have no closing mark."""
-        first = _FIRST.findall(normal(text[-1000:]).rstrip().rsplit("\n", 1)[-1])
+        first = _FIRST.findall(normal(text).rstrip().rsplit("\n", 1)[-1])
         if not first or (i := self._at(_word_key(first[-1], lang, column))) is None:
             return 0.0
         return max(0.0, (int(self.stop[i]) - 1) / max(1, int(self.on[i]) - 1))
 
     def cut(self, text: str | None, lang: str, column: str, signs: bool) -> bool:
-        """Whether a text was cut."""
-        if text is None or not (text := text.rstrip()):
+        """Whether a text was cut; of a long text, what :func:`tail` leaves is enough."""
+        if text is None or not (whole := text.rstrip()):
             return False
+        text = whole[-END:]
         sure, maybe = _SURE.search(text), _MAYBE.search(text)
         if not sure and not maybe and CLOSED.search(text) and not re.search(r"\d\.$", text):
             return False
         if sure or maybe:
-            if not sure and self.opens(text, lang, column) >= OPEN:
+            if not sure and self.opens(whole, lang, column) >= OPEN:
                 return False  # such sentences as a rule end so
-            base = text[: (sure or maybe).start()].rstrip()
-            if not base or CLOSED.search(base):
+            base = whole[: len(whole) - len(text) + (sure or maybe).start()].rstrip()
+            if not base or CLOSED.search(base[-END:]):
                 return False
             inner = self.odds(base, lang, column, 0)
             return bool(sure) or inner is None or inner < ODDS_MARKED
-        own = self.odds(text, lang, column, 1)
+        own = self.odds(whole, lang, column, 1)
         if own is None or _NO_WORD.search(text):
             return signs
         if signs:
             return own < ODDS_SIGNS
-        return own < (ODDS_OPEN if self.opens(text, lang, column) >= OPEN else ODDS)
+        return own < (ODDS_OPEN if self.opens(whole, lang, column) >= OPEN else ODDS)
+
+
+def tail(text: Column) -> Column:
+    """The end of a text without white space after it: the whole last line and whole lines over END characters before it."""
+    t = F.when(F.right(text, F.lit(1)).isin(*BLANKS), F.rtrim(text, F.lit(BLANKS))).otherwise(text)
+    n = F.char_length(F.substring_index(t, "\n", -1)) + END
+    return F.concat(F.substring_index(F.left(t, F.char_length(t) - n), "\n", -1), F.right(t, n))
 
 
 def bare_length(text: Column) -> Column:
@@ -367,7 +384,7 @@ def judged(docs: DataFrame) -> DataFrame:
     )
     fences = F.size(F.split("text", "(?m)^```|(?<=\\s)```")) % 2 == 0
     asked = docs.where(F.col("text").isNotNull()).select(
-        "doc_id", "source", lang.alias("lang"), F.right("text", F.lit(1000)).alias("text"), F.when(has_main, "main_text").otherwise("title").alias("col"),
+        "doc_id", "source", lang.alias("lang"), tail(F.col("text")).alias("text"), F.when(has_main, "main_text").otherwise("title").alias("col"),
         F.char_length("text").alias("n"), bare_length(F.col("text")).alias("m"), F.octet_length("text").alias("b"), fences.alias("fences"),
     )
     at = F.array_contains("chars", F.col("n")) | F.array_contains("chars", F.col("m")) | F.exists(

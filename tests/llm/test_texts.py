@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from corpuscle.llm import chunks, encode, mix, truncated
 
@@ -191,6 +192,31 @@ def test_copies_raise_neither_stops_nor_goings_on(spark):
     assert once.odds(rows[0][0], "en", "main_text", 1) > 0
 
 
+def test_ends_are_read_as_in_training(spark):
+    rows = [(f"{w} {v}\nItem {w} of the {v}, see https://a.example/{w}{v * 60}", "en", "main_text") for w in WORDS for v in WORDS[:6]]
+    model = truncated.Model(truncated.train(spark.createDataFrame(rows, ROWS)))
+    ends = [model.odds(f"Item window of the record, see https://a.example/{'x' * n}", "en", "main_text", 0) for n in (5, 300, 3000)]
+    assert ends[0] is not None and ends[0] == ends[1] == ends[2]
+    assert model.opens("First.\nItem " + "window " * 400, "en", "main_text") == model.opens("First.\nItem window", "en", "main_text") > 0.4
+    code = "\n" + "word " * 30 + "`" + "c" * 70 + "` and `" + "d" * 30 + "` of the window"
+    assert model.odds(code, "en", "main_text", 0) == model.odds("\nword `c` and `d` of the window", "en", "main_text", 0)
+
+
+def test_whole_last_lines_reach_the_model(spark):
+    texts = ["", "a", " \n ", "b\n" * 900 + "c" * 1500 + "\u2003\n" * 800, "a b\n" + "d" * 3000 + "\n" + "e" * 1200, "x\r\n" * 2000, None]
+    got = [r.t for r in spark.createDataFrame(list(enumerate(texts)), "i int, x string").select("i", truncated.tail(F.col("x")).alias("t")).orderBy("i").collect()]
+    for x, y in zip(texts, got):
+        assert (x is None) == (y is None) and (x is None or x.rstrip().endswith(y) and len(y) >= min(truncated.END, len(x.rstrip())))
+        assert x is None or y.rsplit("\n", 1)[-1] == x.rstrip().rsplit("\n", 1)[-1]
+        assert x is None or len(y) == len(x.rstrip()) or x.rstrip()[-len(y) - 1] == "\n"
+
+
+def test_blanks_after_a_cut_do_not_hide_it(spark):
+    rng = random.Random(10)
+    texts = [sentences(rng, 6) for _ in range(300)] + [sentences(rng, 6) + " Parser engine buffer network wind" + " \n" * 900]
+    assert found_in(spark, texts) == {300}
+
+
 def test_truncation_of_odd_tables(spark):
     schema = "doc_id long, source string, lang string, title string, main_text string, text string, is_cut int"
     df = spark.createDataFrame([(1, None, None, None, None, None, 0), (2, "s", "x", "", "", "", 0), (3, "s", "EN-x", "t", " ", "t", 0), (4, "s", "en", "t", "Done.", "t\n\nDone.", 0)], schema)
