@@ -211,7 +211,7 @@ def candidates(reps: DataFrame, texts: DataFrame, width: int = SHINGLE) -> DataF
     One shuffle of (key, id) counts the keys. From its least and greatest id and the exclusive or of all ids follow the
     pairs of keys of two and three rows; only rows of more crowded keys are looked up again.
     """
-    keyed = reps.select("rep", F.explode("bands").alias("k"))
+    keyed = reps.select("rep", F.posexplode("bands").alias("band", "k"))
     counted = keyed.groupBy("k").agg(
         F.count("*").alias("n"), F.min("rep").alias("a"), F.max("rep").alias("b"), F.bit_xor("rep").alias("x")
     )
@@ -235,7 +235,9 @@ def candidates(reps: DataFrame, texts: DataFrame, width: int = SHINGLE) -> DataF
         more = signatures(again, width=width, places=True).select(
             F.col("doc_id").alias("rep"), F.posexplode("bands").alias("t", "v")
         )
-        out = out.union(_pairs(crowded.join(more, "rep"), ["k", "t", "v"]))
+        # all rows of a key agree at the places of its own band, which therefore split nothing
+        own = F.floor(F.col("t") * (PLACES // REFINE) / ROWS) == F.col("band")
+        out = out.union(_pairs(crowded.join(more, "rep").where(~own), ["k", "t", "v"]))
     return out.distinct()
 
 

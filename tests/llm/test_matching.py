@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -114,6 +115,28 @@ def test_crowded_buckets_lose_no_pair(spark, monkeypatch):
     assert got == {(a, b) for a in range(25) for b in range(a + 1, 25) if len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
 
 
+@pytest.mark.parametrize("band", [1, 4, 60])
+def test_crowded_keys_are_split_by_other_bands(spark, monkeypatch, band):
+    monkeypatch.setattr(neardup, "CROWD", 4)
+    rng = random.Random(6)
+    rows = [(i, None, " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, title string, main_text string")
+    sigs = {r.doc_id: r.bands for r in neardup.signatures(df, places=True).collect()}
+    shared = neardup.PLACES // neardup.REFINE * (band // 4) == band * neardup.ROWS
+    same = {i: [(t, 7 if shared and t == band // 4 else v) for t, v in enumerate(x)] for i, x in sigs.items()}
+    real = neardup.signatures
+
+    def agreeing(docs, *args, **kw):
+        out = real(docs, *args, **kw)
+        if not kw.get("places"):
+            return out
+        return spark.createDataFrame([(i, 0, 0, [v for _, v in x]) for i, x in same.items()], out.schema)
+
+    monkeypatch.setattr(neardup, "signatures", agreeing)
+    reps = spark.createDataFrame([(i, [1000 * i + b if b != band else -1 for b in range(neardup.BANDS)]) for i in sigs], "rep long, bands array<long>")
+    assert neardup.candidates(reps, df).count() == 0
+
+
 def test_near_duplicates_of_empty_tables(spark):
     df = spark.createDataFrame([], "doc_id long, title string, main_text string")
     near = neardup.NearDuplicates(df)
