@@ -15,14 +15,15 @@ refined by further places of the signature before its rows are paired.
 
 With 64 bands of 4 places a pair of similarity 0.6 is missed with probability 0.00014, one of 0.65 with 0.000003.
 
-Defined results: null titles and texts count as empty; texts under ``MIN_WORDS`` words have no partners; exact copies
-are partners of each other; empty tables give no rows; further columns are ignored.
+Defined results: null titles and texts count as empty; texts under ``MIN_WORDS`` words have no partners, and in the groups of
+all rows (``short_groups``) only those of the same word sequence; exact copies are partners of each other; empty tables give no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -247,6 +248,44 @@ def similar(common: Column, size_a: Column, size_b: Column, threshold: float) ->
     return common * (10_000 + t) >= t * (size_a + size_b)
 
 
+def short_texts(
+    docs: DataFrame, title_col: str = "title", text_col: str = "main_text", key: str = "doc_id", min_words: int = MIN_WORDS, width: int = SHINGLE,
+) -> DataFrame:
+    """(doc_id, a, b): texts of fewer words than have signatures, with a hash of their word sequence, null without words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        least = max(min_words, width)
+        for batch in batches:
+            at, a, b = [], [], []
+            for i, (title, text) in enumerate(zip(batch.column("title"), batch.column("main_text"))):
+                found = _WORD.finditer(f"{title.as_py() or ''} {text.as_py() or ''}".lower())
+                ws = [m.group() for m in islice(found, least)]
+                if len(ws) < least:
+                    d = xxhash.xxh3_128_digest(" ".join(ws).encode("utf-8", "surrogatepass"))
+                    at.append(i)
+                    a.append(int.from_bytes(d[:8], "big", signed=True) if ws else None)
+                    b.append(int.from_bytes(d[8:], "big", signed=True) if ws else None)
+            ids = batch.column("doc_id").take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["doc_id", "a", "b"])
+
+    return _texts(docs, title_col, text_col, key).mapInArrow(run, "doc_id long, a long, b long")
+
+
+def short_groups(docs: DataFrame, **columns) -> DataFrame:
+    """(doc_id, class_id, group_id, links) of :func:`short_texts`: equal word sequences are a class and a group.
+
+    A text without words is a class of its own.
+    """
+    short = cut(short_texts(docs, **columns))
+    first = short.where("a is not null").groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    rep = F.coalesce("rep", "doc_id")
+    return short.join(first, ["a", "b"], "left").select(
+        "doc_id", rep.alias("class_id"), rep.alias("group_id"), (F.coalesce("copies", F.lit(1)) - 1).alias("links")
+    )
+
+
 class NearDuplicates:
     """The stages of one run; ``classes`` and ``links`` are checkpointed tables."""
 

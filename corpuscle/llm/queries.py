@@ -25,7 +25,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.NearDuplicates(table(spark, d, "documents")).groups()
+    docs = table(spark, d, "documents")
+    return neardup.NearDuplicates(docs).groups().unionByName(neardup.short_groups(docs))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

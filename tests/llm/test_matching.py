@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corpuscle.llm import canon, names, neardup
+from corpuscle.llm import canon, names, neardup, queries
 
 
 def levenshtein(a, b):
@@ -137,6 +137,14 @@ def test_crowded_keys_are_split_by_other_bands(spark, monkeypatch, band):
     assert neardup.candidates(reps, df).count() == 0
 
 
+def test_groups_have_every_document(spark, tmp_path):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, None, long), (2, "", long), (3, "A b", "c"), (4, "a", "B, c!"), (5, "a", "c b"), (6, None, None), (7, "", "..."), (8, "one", None), (9, "İx", "ß_y")]
+    spark.createDataFrame(rows, "doc_id long, title string, main_text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.class_id, r.group_id, r.links) for r in queries.p3_groups(spark, str(tmp_path)).collect()}
+    assert got == {1: (1, 1, 1), 2: (1, 1, 1), 3: (3, 3, 1), 4: (3, 3, 1)} | {i: (i, i, 0) for i in (5, 6, 7, 8, 9)}
+
+
 def test_near_duplicates_of_empty_tables(spark):
     df = spark.createDataFrame([], "doc_id long, title string, main_text string")
     near = neardup.NearDuplicates(df)
