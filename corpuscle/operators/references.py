@@ -2,9 +2,9 @@
 
 Existence of a key is a signed count: +1 when a row with that key is ingested, -1 when it is removed. The deltas are
 summed per (key, time), then turned into running counts by two window steps (within a day of a key, and over the days
-of a key), so that no key's history has to fit one task even if it holds a third of all rows. Only the times at which a
-count leaves or reaches zero are kept: the disjoint periods in which the key exists. A reference is an orphan if its
-time lies in none of them.
+of a key), so that one task gets at most the times of a day of a key, or its days. References are counted in the same
+deltas: those of a time at which the key's count of references is positive and that of existence is zero are orphans.
+``existence_periods`` has the disjoint periods in which a key exists; there the turns of a key are ordered in one task.
 """
 
 from __future__ import annotations
@@ -22,12 +22,8 @@ def spelled_number(entry: Column) -> Column:
     return F.nullif(F.regexp_extract(entry, ID_PATTERN, 1), F.lit(""))
 
 
-def existence_periods(rows: DataFrame, key: str, begin: str, end: str) -> DataFrame:
-    """(key, opens, closes): disjoint periods [opens, closes) in which at least one row of the key exists.
-
-    Rows without key or begin never exist; a null end means still there; rows that end before they begin never exist.
-    ``closes`` is null for a period that is still open.
-    """
+def existence_deltas(rows: DataFrame, key: str, begin: str, end: str) -> DataFrame:
+    """(key, at, n): the changes of the number of rows of a key, without zeros."""
     ok = rows.where(F.col(key).isNotNull() & F.col(begin).isNotNull() & (F.col(end).isNull() | (F.col(end) > F.col(begin))))
     deltas = ok.select(
         F.col(key).alias("key"),
@@ -37,7 +33,12 @@ def existence_periods(rows: DataFrame, key: str, begin: str, end: str) -> DataFr
             )
         ).alias("d"),
     ).where("d.at is not null")
-    net = deltas.groupBy("key", F.col("d.at").alias("at")).agg(F.sum("d.n").alias("n")).where("n <> 0")
+    return deltas.groupBy("key", F.col("d.at").alias("at")).agg(F.sum("d.n").alias("n")).where("n <> 0")
+
+
+def running(net: DataFrame) -> DataFrame:
+    """(key, at, now, n, further columns): ``now`` is the sum of n of the key up to and with this time; one row a key and time."""
+    rest = [c for c in net.columns if c not in ("key", "at", "n")]
     day = F.date_trunc("day", "at")
     net = net.withColumn("day", day)
     within = net.withColumn(
@@ -48,22 +49,31 @@ def existence_periods(rows: DataFrame, key: str, begin: str, end: str) -> DataFr
         "key", "day",
         F.coalesce(F.sum("n").over(W.partitionBy("key").orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("b"),
     )
-    count = within.join(before, ["key", "day"]).select("key", "at", (F.col("b") + F.col("c")).alias("now"), "n")
+    return within.join(before, ["key", "day"]).select("key", "at", (F.col("b") + F.col("c")).alias("now"), "n", *rest)
+
+
+def existence_periods(rows: DataFrame, key: str, begin: str, end: str) -> DataFrame:
+    """(key, opens, closes): disjoint periods [opens, closes) in which at least one row of the key exists.
+
+    Rows without key or begin never exist; a null end means still there; rows that end before they begin never exist.
+    ``closes`` is null for a period that is still open.
+    """
+    count = running(existence_deltas(rows, key, begin, end))
     turns = count.where((F.col("now") > 0) != (F.col("now") - F.col("n") > 0))
     spans = turns.withColumn("closes", F.lead("at").over(W.partitionBy("key").orderBy("at")))
     return spans.where("now > 0").select("key", F.col("at").alias("opens"), "closes")
 
 
-def orphans(references: DataFrame, periods: DataFrame) -> DataFrame:
+def orphans(references: DataFrame, net: DataFrame) -> DataFrame:
     """The distinct rows of ``references`` (with columns target_id and at) whose target does not exist at their time.
 
-    References without a target or a time are none.
+    ``net`` are the existence deltas. References without a target or a time are none.
     """
     refs = references.where("target_id is not null and at is not null").distinct()
-    known = periods.groupBy("key").agg(F.collect_list(F.struct("opens", "closes")).alias("periods"))
-    there = F.exists("periods", lambda p: (p.opens <= F.col("at")) & (p.closes.isNull() | (p.closes > F.col("at"))))
-    joined = refs.join(known, refs.target_id == known.key, "left")
-    return joined.where(F.col("periods").isNull() | ~there).select(*references.columns)
+    asked = refs.groupBy(F.col("target_id").alias("key"), "at").agg(F.lit(0).cast("long").alias("n"), F.count("*").alias("refs"))
+    both = net.withColumn("refs", F.lit(0).cast("long")).unionByName(asked).groupBy("key", "at").agg(F.sum("n").alias("n"), F.sum("refs").alias("refs"))
+    lost = running(both).where("refs > 0 and now <= 0").select(F.col("key").alias("target_id"), "at")
+    return refs.join(lost, ["target_id", "at"], "left_semi").select(*references.columns)
 
 
 def document_references(documents: DataFrame, qrels: DataFrame) -> DataFrame:
@@ -81,8 +91,8 @@ def document_references(documents: DataFrame, qrels: DataFrame) -> DataFrame:
 
 def found(documents: DataFrame, qrels: DataFrame) -> DataFrame:
     """(src_table, src_id, target_id, period): the orphan references with their month."""
-    periods = existence_periods(documents, "id", "ingested_at", "removed_at")
-    out = orphans(document_references(documents, qrels), periods)
+    net = existence_deltas(documents, "id", "ingested_at", "removed_at")
+    out = orphans(document_references(documents, qrels), net)
     return out.select("src_table", "src_id", "target_id", F.date_format("at", "yyyy-MM").alias("period")).distinct()
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from corpuscle.operators.references import spelled_number
+
 COUNTS = "key string, refs long, there long"
 
 
@@ -23,10 +25,15 @@ def enrich_stream(documents: DataFrame, stages: list[Callable[[DataFrame], DataF
     return documents.writeStream.format("json").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def reference_deltas(documents: DataFrame, ids: str = "id", links: str = "explicit_related_ids") -> DataFrame:
-    """(key, refs, there) of new documents: +1 existence of each id, +1 reference of each link."""
-    there = documents.where(F.col(ids).isNotNull()).select(F.col(ids).alias("key"), F.lit(0).cast("long").alias("refs"), F.lit(1).cast("long").alias("there"))
-    refs = documents.select(F.explode(links).alias("key")).where("key is not null")
+def reference_deltas(documents: DataFrame, ids: str = "id", links: str = "explicit_related_ids", removed: str = "removed_at") -> DataFrame:
+    """(key, refs, there) of new documents: +1 existence of each id, -1 if it is removed, +1 reference of each link.
+
+    Links are read as in problem 5; without a column ``removed`` nothing is removed.
+    """
+    gone = [F.when(F.col(removed).isNotNull(), F.lit(-1))] if removed in documents.columns else []
+    change = F.explode(F.array(F.lit(1), *gone).cast("array<long>")).alias("there")
+    there = documents.where(F.col(ids).isNotNull()).select(F.col(ids).alias("key"), F.lit(0).cast("long").alias("refs"), change).where("there is not null")
+    refs = documents.select(F.explode(links).alias("entry")).select(spelled_number(F.col("entry")).alias("key")).where("key is not null")
     return there.union(refs.select("key", F.lit(1).cast("long").alias("refs"), F.lit(0).cast("long").alias("there")))
 
 

@@ -9,6 +9,7 @@ import random
 import pytest
 
 from corpuscle.operators import nested, packed, references
+from corpuscle.streaming import incremental
 from tests.oracle import DATA
 
 T = dt.datetime
@@ -38,6 +39,19 @@ def test_references_follow_time(spark):
     assert orphans(spark, [], []) == []
 
 
+def test_orphans_gather_no_periods(spark):
+    d = spark.createDataFrame([], "id string, explicit_related_ids array<string>, ingested_at timestamp, removed_at timestamp")
+    q = spark.createDataFrame([], "query_id string, candidate_ids array<string>, judged_at timestamp")
+    plan = references.found(d, q)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "lead(" not in plan
+
+
+def test_removals_leave_orphans(spark):
+    d = spark.createDataFrame([("1", ["#2", " 3.0"], None), ("2", None, T(2024, 1, 2)), ("3", None, None)], "id string, explicit_related_ids array<string>, removed_at timestamp")
+    counts = incremental.merge_counts(spark.createDataFrame([], incremental.COUNTS), incremental.reference_deltas(d))
+    assert [tuple(r) for r in incremental.orphans(counts).collect()] == [("2", 1)]
+
+
 def test_existence_of_a_hot_key_equals_brute_force(spark):
     rng = random.Random(1)
     rows = []
