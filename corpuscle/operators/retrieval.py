@@ -11,9 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuscle.functions.structured import metadata_text, useless_metadata
-from corpuscle.functions.text import blank, prepared, tokens
+from corpuscle.functions.text import blank, prepared
 from corpuscle.functions.vectors import cosine
-from corpuscle.operators.search import bm25_weights, dense_search, lexical_weights, ranked, sparse_search, without_self
+from corpuscle.operators.search import bm25_weights, dense_search, lexical_weights, ranked, sparse_search, term_index, without_self
 from corpuscle.session import cut
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -23,8 +23,13 @@ FIELDS = {"metadata": 1.0, "title": 1.0, "main_text": 2.0}
 
 def latest(docs: DataFrame) -> DataFrame:
     """One row for each id: the last ingested (ties: larger doc_id). Only keys are shuffled, then rows are semi-joined."""
-    last = docs.groupBy("id").agg(F.max(F.struct("ingested_at", "doc_id")).alias("last")).select(F.col("last.doc_id").alias("doc_id"))
-    return docs.join(last, "doc_id", "left_semi")
+    return docs.join(latest_ids(docs).select("doc_id"), "doc_id", "left_semi")
+
+
+def latest_ids(docs: DataFrame) -> DataFrame:
+    """(id, doc_id): the row that holds for each id; rows without an id hold each for itself."""
+    named = docs.where("id is not null").groupBy("id").agg(F.max(F.struct("ingested_at", "doc_id")).alias("last")).select("id", "last.doc_id")
+    return named.union(docs.where("id is null").select("id", "doc_id"))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -43,42 +48,43 @@ def with_texts(docs: DataFrame) -> DataFrame:
     )
 
 
-def inverse_frequencies(docs: DataFrame, text: str) -> tuple[DataFrame, float]:
-    """(term, idf) over all documents, negative values raised to EPSILON times the mean; and the mean length."""
-    ts = docs.select(tokens(F.col(text)).alias("ts"))
-    n, avgdl = ts.agg(F.count("*"), F.avg(F.size("ts"))).first()
-    df = ts.select(F.explode(F.array_distinct("ts")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+def inverse_frequencies(index: DataFrame, text: str) -> tuple[DataFrame, float]:
+    """(term, idf) over a token table, negative values raised to EPSILON times the mean; and the mean length."""
+    n, avgdl = index.agg(F.count("*"), F.avg(f"{text}_len")).first()
+    df = index.select(F.explode(text).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     raw = df.select("term", (F.ln(F.lit(float(n)) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
     floor = raw.agg((F.avg("raw") * EPSILON).alias("floor"))
     idf = raw.crossJoin(F.broadcast(floor)).select("term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
     return idf, float(avgdl or 1.0)
 
 
-def term_counts(queries: DataFrame, text: str) -> DataFrame:
-    """(query_id, term, tf)."""
-    return queries.select(F.col("doc_id").alias("query_id"), F.explode(tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(
-        F.count("*").alias("tf")
-    )
+def term_counts(index: DataFrame, text: str) -> DataFrame:
+    """(query_id, term, tf) of a token table."""
+    pairs = F.explode(F.arrays_zip(F.col(text).alias("term"), F.col(f"{text}_tf").alias("tf"))).alias("p")
+    return index.select(F.col("doc_id").alias("query_id"), pairs).select("query_id", "p.term", F.col("p.tf").cast("long").alias("tf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, text: str = "plain") -> DataFrame:
     """k + 1 results for each query before the query's own document is taken out."""
-    idf, avgdl = inverse_frequencies(docs, text)
-    entries = term_counts(queries, text).join(idf, "term").select("query_id", "term", (F.col("tf") * F.col("idf")).alias("weight"))
-    return without_self(sparse_search(docs, entries, k + 1, {text: 1.0}, bm25_weights(avgdl, K1, B)))
+    index = cut(term_index(docs, [text]))
+    idf, avgdl = inverse_frequencies(index, text)
+    entries = term_counts(term_index(queries, [text]), text).join(idf, "term").select("query_id", "term", (F.col("tf") * F.col("idf")).alias("weight"))
+    return without_self(sparse_search(index, entries, k + 1, {text: 1.0}, bm25_weights(avgdl, K1, B)))
 
 
-def lexical_entries(queries: DataFrame, fields: dict[str, Column]) -> DataFrame:
+def lexical_entries(index: DataFrame, fields: dict[str, Column]) -> DataFrame:
     """(query_id, term, weight): the lexical encoder on each text, added with the fields' weights (a column each).
 
-    The sum is scaled to length 1, so that a dot product with a document's vector is their cosine.
+    The sum is scaled to length 1, so that a dot product with a document's vector is their cosine. ``index`` is a token
+    table with the columns that the weights need.
     """
     parts = None
     for text, share in fields.items():
-        tf = term_counts(queries.where(share > 0), text).withColumn("w", 1 + F.ln("tf"))
-        length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("query_id")))
-        one = tf.withColumn("w", F.col("w") / length).join(queries.select(F.col("doc_id").alias("query_id"), share.alias("share")), "query_id")
-        one = one.select("query_id", "term", (F.col("w") * F.col("share")).alias("w"))
+        some = index.where(share > 0)
+        w = F.transform(f"{text}_tf", lambda n: 1 + F.ln(n.cast("double")))
+        length = F.sqrt(F.aggregate(w, F.lit(0.0), lambda s, x: s + x * x))
+        one = some.select(F.col("doc_id").alias("query_id"), (share / length).alias("scale"), F.explode(F.arrays_zip(F.col(text).alias("term"), w.alias("w"))).alias("p"))
+        one = one.select("query_id", "p.term", (F.col("p.w") * F.col("scale")).alias("w"))
         parts = one if parts is None else parts.union(one)
     summed = parts.groupBy("query_id", "term").agg(F.sum("w").alias("w"))
     return summed.select("query_id", "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("query_id")))).alias("weight"))
@@ -86,23 +92,36 @@ def lexical_entries(queries: DataFrame, fields: dict[str, Column]) -> DataFrame:
 
 def lexical_dense(docs: DataFrame, queries: DataFrame, k: int = 10, text: str = "plain", extra: int = 1) -> DataFrame:
     """Cosine of lexical vectors; k + ``extra`` results before self-exclusion."""
-    entries = lexical_entries(queries, {text: F.lit(1.0)})
-    return without_self(sparse_search(docs, entries, k + extra, {text: 1.0}, lexical_weights))
+    entries = lexical_entries(term_index(queries, [text]), {text: F.lit(1.0)})
+    return without_self(sparse_search(term_index(docs, [text]), entries, k + extra, {text: 1.0}, lexical_weights))
+
+
+def charm_shares(fields: dict[str, float]) -> dict[str, Column]:
+    """The weight of each field in a query's vector; without useful metadata only its main text counts."""
+    use = ~blank(F.col("metadata_text")) & ~F.col("useless")
+    return {c: F.when(use, F.lit(w)).otherwise(F.lit(1.0 if c == "main_text" else 0.0)) for c, w in fields.items()}
+
+
+def charm_queries(queries: DataFrame, fields: list[str]) -> DataFrame:
+    """The token table of queries with what :func:`charm_shares` asks for."""
+    return term_index(queries, fields).join(queries.select("doc_id", F.col("metadata").alias("metadata_text"), "useless"), "doc_id")
 
 
 def charm(docs: DataFrame, queries: DataFrame, k: int = 10, fields: dict[str, float] | None = None) -> DataFrame:
     """Cosine of field-weighted vectors; queries without useful metadata are read by their main text only."""
     f = fields or FIELDS
-    use = ~blank(F.col("metadata")) & ~F.col("useless")
-    shares = {c: F.when(use, F.lit(w)).otherwise(F.lit(1.0 if c == "main_text" else 0.0)) for c, w in f.items()}
-    return without_self(sparse_search(docs, lexical_entries(queries, shares), k + 1, f, lexical_weights, unit=True))
+    # each field reads the queries again, and their metadata text is costly
+    entries = lexical_entries(cut(charm_queries(queries, list(f))), charm_shares(f))
+    return without_self(sparse_search(term_index(docs, list(f)), entries, k + 1, f, lexical_weights, unit=True))
 
 
 def charm_trials(docs: DataFrame, queries: DataFrame, grid: list[dict[str, float]], k: int = 10) -> DataFrame:
-    """(trial, query_id, doc_id, score, rank) for several sets of field weights."""
-    out = None
+    """(trial, query_id, doc_id, score, rank) for several sets of field weights; all trials share one token table."""
+    names = list(dict.fromkeys(c for f in grid for c in f))
+    index, asked, out = cut(term_index(docs, names)), cut(charm_queries(queries, names)), None
     for no, f in enumerate(grid):
-        one = charm(docs, queries, k, f).withColumn("trial", F.lit(no).cast("long"))
+        found = sparse_search(index, lexical_entries(asked, charm_shares(f)), k + 1, f, lexical_weights, unit=True)
+        one = without_self(found).withColumn("trial", F.lit(no).cast("long"))
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -1,34 +1,38 @@
 """Top-k search of a stated query set against all documents, in blocks.
 
-The query set is gathered once, with a check of its size, and sent to every worker as one matrix (dense vectors) or one
-inverted index (sparse vectors). Each task scores its documents in Arrow batches and keeps only its own k best for every
-query, so what is shuffled is queries x tasks x k rows, never queries x documents. A query set above the limit is
-searched in several passes. Scores are rounded before they are ranked and ties go to the smaller document id, so the
+The query set is cut into blocks by a hash of the query id, so that no block has more than ``ENTRIES`` numbers or
+``BYTES`` of terms; only one block at a time is gathered, checked and sent to the workers as one matrix. Each task scores
+its documents in Arrow batches and keeps only its own k best for every query, so what is shuffled is queries x tasks x k
+rows, never queries x documents. Scores are rounded before they are ranked and ties go to the smaller document id, so the
 result does not depend on partitioning.
 
+Sparse vectors: the corpus is tokenised once into a token table (:func:`term_index`), from which frequencies, queries and
+scores are all made. Its terms are encoded by batch, so weighting and scoring are array operations over the whole batch. Terms that many queries of the block have are scored by one matrix
+product, the others by their postings. A join of the postings of both sides in the JVM would write a row for every term that
+a query and a document have in common (351 million rows at sf0.1, where both sides are whole texts) to add them up again.
+
 Documents that share nothing with a query have score 0 and take part in the ranking. Null or empty texts and vectors
 score 0 as well; an empty query set or corpus gives no rows; repeated ids are ranked as separate rows.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpuscle.session import spread
+from corpuscle.session import cut, spread
 
-#: Most entries (query, term) or numbers of one pass.
-ENTRIES = 20_000_000
-#: From so many entries (query, term) on, scoring a text costs far more than moving it, and few large files would leave
-#: cores idle; so the texts are spread evenly first.
-SPREAD_FROM = 10_000
+#: Most entries (query, term) or numbers of one block, and most bytes of its terms; a block is gathered and broadcast.
+ENTRIES, BYTES = 4_000_000, 64_000_000
+#: Terms that one in so many queries of a block has are scored by a matrix product.
+COMMON = 32
 SCHEMA = "query_id long, doc_id long, score double"
 
 
@@ -42,15 +46,17 @@ class Best:
 
     def offer(self, docs: np.ndarray, scores: np.ndarray) -> None:
         """``scores``: documents x queries. Only scores that may be among the k best, ties included, are sorted."""
-        new, (nq, held), n = np.round(scores.T, 9) + 0.0, self.score.shape, len(docs)
-        keep = np.ones(new.shape, bool)
-        if n > self.k:
-            keep = new >= np.partition(new, n - self.k, axis=1)[:, n - self.k, None]
+        new, (nq, held), n = scores.T, self.score.shape, len(docs)
         if held == self.k:
-            keep &= new >= self.score[:, -1:]
+            # rounding moves a score by less than this, so most are told apart without it
+            keep = new >= self.score[:, -1:] - 1e-9
+        elif n > self.k:
+            keep = new >= np.partition(new, n - self.k, axis=1)[:, n - self.k, None] - 1e-9
+        else:
+            keep = np.ones(new.shape, bool)
         at, which = np.nonzero(keep)
         q = np.concatenate([np.repeat(np.arange(nq), held), at])
-        score = np.concatenate([self.score.reshape(-1), new[at, which]])
+        score = np.concatenate([self.score.reshape(-1), np.round(new[at, which], 9) + 0.0])
         doc = np.concatenate([self.doc.reshape(-1), docs[which]])
         order = np.lexsort((doc, -score, q))
         starts = np.searchsorted(q[order], np.arange(nq))
@@ -81,112 +87,179 @@ def _empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], SCHEMA)
 
 
-def lexical_weights(text: str | None) -> tuple[list[str], np.ndarray]:
-    """The lexical encoder: terms and 1 + ln(tf), scaled to length 1."""
-    tf = Counter((text or "").lower().split())
-    w = np.fromiter((1.0 + math.log(n) for n in tf.values()), float, len(tf))
-    return list(tf), w / math.sqrt(float(w @ w)) if len(w) else w
+def blocks(rows: DataFrame, key: str, numbers: int, size: int) -> Iterator[pa.Table]:
+    """The checkpointed ``rows`` in blocks of whole keys, each gathered by itself; ``numbers`` and ``size`` tell how many."""
+    n = max(1, -(-numbers // ENTRIES), -(-size // BYTES))
+    for i in range(n):
+        one = rows if n == 1 else rows.where(F.pmod(F.xxhash64(key), F.lit(n)) == i)
+        yield one.toArrow()
+
+
+def lexical_weights(tf: np.ndarray, row: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The lexical encoder: 1 + ln(tf), scaled to length 1. A row of the arrays is a term of a text."""
+    w = 1.0 + np.log(tf)
+    return w / np.sqrt(np.bincount(row, w * w, len(lengths)))[row]
 
 
-def bm25_weights(avgdl: float, k1: float = 1.5, b: float = 0.75) -> Callable[[str | None], tuple[list[str], np.ndarray]]:
+def bm25_weights(avgdl: float, k1: float = 1.5, b: float = 0.75) -> Callable:
     """The document side of BM25: saturated term frequencies; the inverse document frequency is on the query's side."""
 
-    def weights(text: str | None) -> tuple[list[str], np.ndarray]:
-        ts = (text or "").lower().split()
-        tf = Counter(ts)
-        n = np.fromiter(tf.values(), float, len(tf))
-        return list(tf), n * (k1 + 1) / (n + k1 * (1 - b + b * len(ts) / avgdl)) if len(ts) else n
+    def weights(tf: np.ndarray, row: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        return tf * (k1 + 1) / (tf + (k1 * (1 - b + b * lengths / avgdl))[row])
 
     return weights
 
 
+class Index:
+    """The queries of a block: terms in few queries with their postings, common ones as rows of a matrix."""
+
+    def __init__(self, table: pa.Table):
+        query = table.column("query_id").to_numpy()
+        self.queries = np.unique(query)
+        terms = table.column("term").combine_chunks().dictionary_encode()
+        ids, q = terms.indices.to_numpy(), np.searchsorted(self.queries, query)
+        self.terms = terms.dictionary
+        order = np.argsort(ids, kind="stable")
+        self.q, self.w = q[order].astype(np.int32), table.column("weight").to_numpy()[order]
+        self.starts = np.searchsorted(ids[order], np.arange(len(self.terms) + 1))
+        often = np.diff(self.starts) * COMMON >= len(self.queries)
+        self.place = np.where(often, np.cumsum(often) - 1, -1)
+
+    def matrix(self) -> np.ndarray:
+        """Common terms x queries."""
+        out = np.zeros((int((self.place >= 0).sum()), len(self.queries)))
+        term = np.repeat(np.arange(len(self.terms)), np.diff(self.starts))
+        common = self.place[term] >= 0
+        out[self.place[term[common]], self.q[common]] = self.w[common]
+        return out
+
+    def scores(self, rows: int, row: np.ndarray, term: np.ndarray, value: np.ndarray, common: np.ndarray) -> np.ndarray:
+        """Texts x queries, from the terms of the texts."""
+        nq, place = len(self.queries), self.place[term]
+        dense = place >= 0
+        side = np.zeros((rows, len(common)))
+        side[row[dense], place[dense]] = value[dense]
+        out = side @ common
+        row, term, value = row[~dense], term[~dense], value[~dense]
+        begin, n = self.starts[term], self.starts[term + 1] - self.starts[term]
+        if n.sum():
+            at = np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)
+            out += np.bincount(np.repeat(row * nq, n) + self.q[at], self.w[at] * np.repeat(value, n), rows * nq).reshape(rows, nq)
+        return out
+
+
+def term_index(docs: DataFrame, fields: list[str]) -> DataFrame:
+    """(doc_id, and for each field its terms, their tf and their number): the token table of a corpus, one Arrow pass.
+
+    Terms are the lower-case tokens between white space, each once. Texts of few files are spread evenly first; where
+    there are as many files as cores, nothing is shuffled.
+    """
+    kinds = ", ".join(f"`{f}` array<string>, `{f}_tf` array<int>, `{f}_len` long" for f in fields)
+    rows = docs.select("doc_id", *fields)
+    if len(rows.inputFiles()) < rows.sparkSession.sparkContext.defaultParallelism:
+        rows = rows.repartition(spread(rows), "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = {"doc_id": b.column(0)}
+            for k, f in enumerate(fields, 1):
+                counted = [Counter((t.as_py() or "").lower().split()) for t in b.column(k)]
+                ends = np.cumsum([0, *map(len, counted)], dtype=np.int32)
+                tf = np.fromiter((n for c in counted for n in c.values()), np.int32, ends[-1])
+                out[f] = pa.ListArray.from_arrays(ends, pa.array([t for c in counted for t in c], pa.string()))
+                out[f"{f}_tf"] = pa.ListArray.from_arrays(ends, pa.array(tf))
+                out[f"{f}_len"] = pa.array([c.total() for c in counted], pa.int64())
+            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+
+    return rows.mapInArrow(run, f"doc_id long, {kinds}")
+
+
+def text_terms(batch: pa.RecordBatch, shares: list[float], weights: Callable, unit: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(row, code, value, dictionary) of a batch of a token table: the terms of every text, fields added with their shares."""
+    n = batch.num_rows
+    flat = pa.chunked_array([batch.column(3 * f + 1).flatten() for f in range(len(shares))]).combine_chunks().dictionary_encode()
+    codes, size = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(1, len(flat.dictionary))
+    keys, values, at = [], [], 0
+    for f, share in enumerate(shares):
+        row = np.repeat(np.arange(n), pc.list_value_length(batch.column(3 * f + 1)).to_numpy())
+        tf = batch.column(3 * f + 2).flatten().to_numpy().astype(float)
+        keys.append(row * size + codes[at : at + len(row)])
+        at += len(row)
+        values.append(share * weights(tf, row, batch.column(3 * f + 3).to_numpy().astype(float)))
+    key, value = keys[0], values[0]
+    if len(keys) > 1:
+        key, back = np.unique(np.concatenate(keys), return_inverse=True)
+        value = np.bincount(back, np.concatenate(values), len(key))
+    row = key // size
+    if unit:
+        length = np.sqrt(np.bincount(row, value * value, n))
+        value = value / np.where(length > 0, length, 1.0)[row]
+    return row, key % size, value, flat.dictionary
+
+
 def sparse_search(
-    docs: DataFrame, entries: DataFrame, k: int, fields: dict[str, float], weights: Callable, unit: bool = False
+    index: DataFrame, entries: DataFrame, k: int, fields: dict[str, float], weights: Callable, unit: bool = False
 ) -> DataFrame:
     """(query_id, doc_id, score, rank) by sparse dot products.
 
-    ``docs``: doc_id and the text columns of ``fields``, whose vectors are added with the fields' weights (and with
-    ``unit`` scaled to length 1). ``entries``: (query_id, term, weight) of the queries.
+    ``index``: a token table with ``fields``, whose vectors are added with the fields' weights (and with ``unit`` scaled to
+    length 1). ``entries``: (query_id, term, weight) of the queries.
     """
-    spark = docs.sparkSession
-    rows = entries.select("query_id", "term", F.col("weight").cast("double").alias("weight")).toArrow()
-    if not rows.num_rows:
-        return ranked(_empty(spark), k)
-    if rows.num_rows >= SPREAD_FROM:
-        docs = docs.repartition(spread(docs), "doc_id")
-    query = rows.column("query_id").to_numpy()
-    queries = np.unique(query)
-    passes = -(-rows.num_rows // ENTRIES)
+    spark = index.sparkSession
+    held = cut(entries.select("query_id", "term", F.col("weight").cast("double").alias("weight")))
+    n, size = held.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
     out = None
-    for part in np.array_split(queries, passes):
-        at = np.flatnonzero(np.isin(query, part))
-        mine = rows.take(pa.array(at))
-        terms = mine.column("term").combine_chunks().dictionary_encode()
-        ids = terms.indices.to_numpy()
-        order = np.argsort(ids, kind="stable")
-        index = {
-            "queries": part,
-            "terms": {t: i for i, t in enumerate(terms.dictionary.to_pylist())},
-            "starts": np.searchsorted(ids[order], np.arange(len(terms.dictionary) + 1)),
-            "q": np.searchsorted(part, mine.column("query_id").to_numpy()[order]),
-            "w": mine.column("weight").to_numpy()[order],
-        }
-        sent = spark.sparkContext.broadcast(index)
-        found = docs.select("doc_id", *fields).mapInArrow(_sparse_task(sent, fields, weights, unit, k), SCHEMA)
-        out = found if out is None else out.union(found)
-    return ranked(out, k)
+    for block in blocks(held, "query_id", n, size) if n else ():
+        if block.num_rows:
+            sent = spark.sparkContext.broadcast(Index(block))
+            columns = [c for f in fields for c in (f, f"{f}_tf", f"{f}_len")]
+            found = index.select("doc_id", *columns).mapInArrow(_sparse_task(sent, list(fields.values()), weights, unit, k), SCHEMA)
+            out = found if out is None else out.union(found)
+    return ranked(_empty(spark) if out is None else out, k)
 
 
-def _sparse_task(sent, fields: dict[str, float], weights: Callable, unit: bool, k: int) -> Callable:
+def _sparse_task(sent, shares: list[float], weights: Callable, unit: bool, k: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = sent.value
-        terms, starts, q, w = x["terms"], x["starts"], x["q"], x["w"]
-        nq, best = len(x["queries"]), Best(x["queries"], k)
-        step = max(16, min(1024, 4_000_000 // nq))
+        common, best = x.matrix(), Best(x.queries, k)
+        step = max(16, min(1024, 1_000_000 // len(x.queries)))
         for b in batches:
             ids = b.column(0).to_numpy()
             for lo in range(0, len(ids), step):
-                hi = min(len(ids), lo + step)
-                scores = np.zeros((hi - lo, nq))
-                for r in range(lo, hi):
-                    vec: dict[str, float] = {}
-                    for c, (_, share) in enumerate(fields.items(), 1):
-                        ts, v = weights(b.column(c)[r].as_py())
-                        for t, y in zip(ts, v.tolist()):
-                            vec[t] = vec.get(t, 0.0) + share * y
-                    scale = 1.0
-                    if unit and vec:
-                        scale = 1.0 / (math.sqrt(math.fsum(y * y for y in vec.values())) or 1.0)
-                    hits = [(i, y) for t, y in vec.items() if (i := terms.get(t)) is not None]
-                    if hits:
-                        spans = [(starts[i], starts[i + 1]) for i, _ in hits]
-                        to = np.concatenate([q[s:e] for s, e in spans])
-                        add = np.concatenate([w[s:e] * (y * scale) for (s, e), (_, y) in zip(spans, hits)])
-                        scores[r - lo] = np.bincount(to, add, nq)
-                best.offer(ids[lo:hi], scores)
+                part = b.slice(lo, step)
+                row, code, value, seen = text_terms(part, shares, weights, unit)
+                term = pc.fill_null(pc.index_in(seen, x.terms), -1).to_numpy(zero_copy_only=False)[code]
+                known = term >= 0
+                best.offer(ids[lo : lo + step], x.scores(part.num_rows, row[known], term[known], value[known], common))
         yield best.batch()
 
     return run
 
 
+def _vectors(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
+    flat = pc.list_flatten(column)
+    flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.zeros((0, 0))
+
+
 def dense_search(docs: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", epsilon: float = 0.0) -> DataFrame:
     """(query_id, doc_id, score, rank) by cosine; zero vectors score 0. ``docs`` and ``queries`` have doc_id and vector."""
     spark = docs.sparkSession
-    rows = queries.select("doc_id", vector).where(F.col(vector).isNotNull()).toArrow()
-    if not rows.num_rows:
+    asked = queries.select("doc_id", vector).where(F.col(vector).isNotNull())
+    n = asked.agg(F.coalesce(F.sum(F.size(vector)), F.lit(0))).first()[0]
+    if not n:
         return ranked(_empty(spark), k)
-    ids = rows.column(0).to_numpy()
-    mat = np.array(rows.column(1).to_pylist(), np.float64)
     out = None
-    for at in np.array_split(np.arange(len(ids)), -(-mat.size // ENTRIES)):
-        sent = spark.sparkContext.broadcast((ids[at], mat[at]))
+    for block in blocks(asked, "doc_id", n, 0):
+        if not block.num_rows:
+            continue
+        sent = spark.sparkContext.broadcast((block.column(0).to_numpy(), _vectors(block.column(1), block.num_rows)))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             qid, q = sent.value
             qn, best = np.sqrt((q * q).sum(1)), Best(qid, k)
             for b in batches:
-                flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                d = flat.reshape(len(b), -1) if len(b) else flat.reshape(0, q.shape[1])
+                d = _vectors(b.column(1), len(b))
                 for lo in range(0, len(d), 1024):
                     part = d[lo : lo + 1024]
                     down = np.sqrt((part * part).sum(1))[:, None] * qn[None, :] + epsilon

@@ -27,7 +27,7 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
 
 def truth(spark: SparkSession, d: str) -> DataFrame:
     """(query_id, doc_id): judged pairs of known documents, by doc_id."""
-    ids = docs(spark, d).select("id", "doc_id")
+    ids = cut(retrieval.latest_ids(table(spark, d, "documents")))
     long = align.long_qrels(table(spark, d, "qrels"))
     q = long.join(ids.select(F.col("id").alias("query_id"), F.col("doc_id").alias("q")), "query_id")
     c = q.join(ids.select(F.col("id").alias("candidate_id"), F.col("doc_id").alias("c")), "candidate_id")
@@ -64,7 +64,7 @@ def out(ranking: DataFrame) -> DataFrame:
 
 
 def _bm25(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    c, t = corpus(spark, d), truth(spark, d)
+    c, t = corpus(spark, d), cut(truth(spark, d))
     return retrieval.bm25(retrieval.candidates(c), asked(c, t), K), t
 
 
@@ -88,7 +88,7 @@ def bm25_details(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lexical(spark: SparkSession, d: str, column: str) -> DataFrame:
-    c, t = corpus(spark, d), truth(spark, d)
+    c, t = corpus(spark, d), cut(truth(spark, d))
     return retrieval.lexical_dense(c.where("source_type <> 'query'"), asked(c, t), K, column)
 
 
@@ -101,7 +101,7 @@ def lexical_labels_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def charm_topk(spark: SparkSession, d: str) -> DataFrame:
-    c, t = corpus(spark, d), truth(spark, d)
+    c, t = corpus(spark, d), cut(truth(spark, d))
     return out(retrieval.charm(retrieval.candidates(c), asked(c, t), K))
 
 
@@ -120,7 +120,7 @@ def charm_param_search(spark: SparkSession, d: str) -> DataFrame:
 
 def method_comparison(spark: SparkSession, d: str) -> DataFrame:
     """Labelled against plain lexical vectors."""
-    t = truth(spark, d)
+    t = cut(truth(spark, d))
     known = t.join(asked(corpus(spark, d), t).select(F.col("doc_id").alias("query_id")), "query_id", "left_semi")
     one = [metrics.means(metrics.evaluate(_lexical(spark, d, x), known)) for x in ("labelled", "plain")]
     return metrics.compare(*one)
