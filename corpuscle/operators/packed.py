@@ -2,11 +2,13 @@
 
 A cell is a JSON or Python list, or values joined by delimiters, any of which may be quoted. Two passes:
 
-1. ``learn``: values that stand whole inside quotes or lists and contain a delimiter are counted over all cells; those
-   seen at least ``support`` times are the dictionary of legitimate values with delimiters inside.
-2. ``split_field``: a multi-pattern automaton (Aho-Corasick) finds dictionary values in the unquoted part of a cell, and
-   dynamic programming picks the cover of the cell with the fewest pieces, in which a dictionary value counts as one
-   piece if it fills the space between two delimiters. So delimiters inside known values do not split them.
+1. ``learn``: the dictionary of known whole values. A value with a delimiter inside is known if it stands whole, in quotes or
+   as an item of a list, in at least ``SUPPORT`` cells: that is told by the cells that hold it, and no other rows matter.
+2. ``split_fields``: a multi-pattern automaton (Aho-Corasick) finds the dictionary's values in the unquoted part of a cell,
+   and dynamic programming picks the best cover of the cell: the one with the fewest pieces, in which a known value counts as
+   one piece if it fills the space between two delimiters. So delimiters inside known values do not split them.
+
+A dictionary above ``DICTIONARY_BYTES`` is not sent to the workers; the spans of each cell are then looked up in it by a join.
 
 Quotes count only where a value begins, and only if the closing quote is followed by a delimiter or the end; a quote
 is escaped by doubling or by a backslash. Defined results: null, blank and empty-list cells give no rows; blank values
@@ -26,8 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most bytes of a learnt dictionary, as it is sent to every worker.
+#: Most bytes of a dictionary that is sent to every worker.
 DICTIONARY_BYTES = 16_000_000
+#: Cells in which a value with a delimiter must stand whole to be known.
+SUPPORT = 2
 
 
 @dataclass(frozen=True)
@@ -159,12 +163,8 @@ def split_cell(cell: str | None, pattern: re.Pattern, known=None) -> list[str]:
     return [v for x in found if (v := x.strip())]
 
 
-def learn(cells: DataFrame, column: str, style: Style, support: int = 20) -> list[str]:
-    """Values with a delimiter inside that stand whole in at least ``support`` quoted or listed places.
-
-    Counted over all cells; the result is bounded by the number of such values, and larger ones than
-    ``DICTIONARY_BYTES`` in sum raise an error rather than lose entries.
-    """
+def learn(cells: DataFrame, column: str, style: Style, support: int = SUPPORT) -> DataFrame:
+    """(val): values with a delimiter inside that stand whole, quoted or listed, in at least ``support`` cells; over all cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern = style.pattern
@@ -172,36 +172,80 @@ def learn(cells: DataFrame, column: str, style: Style, support: int = 20) -> lis
             out = []
             for c in b.column(0):
                 c = c.as_py()
-                if '"' not in c and "'" not in c:
-                    continue
                 found = as_list(c)
                 whole = [t.value for t in tokens(c, pattern) if t.quoted] if found is None else found
-                out += [v for x in whole if (v := x.strip()) and pattern.search(v)]
+                out += dict.fromkeys(v for x in whole if (v := x.strip()) and pattern.search(v))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["val"])
 
-    quoted = cells.select(column).where(F.col(column).rlike("[\"']"))
-    counted = quoted.mapInArrow(run, "val string").groupBy("val").agg(F.count("*").alias("n")).where(F.col("n") >= support)
-    most = DICTIONARY_BYTES // 8
-    vals = [r["val"] for r in counted.select("val").limit(most + 1).collect()]
-    if len(vals) > most or sum(map(len, vals)) > DICTIONARY_BYTES:
-        raise ValueError(f"the dictionary of {column} is too large; raise its support")
-    return sorted(vals)
+    quoted = cells.select(column).where(F.col(column).rlike("[\"']")).distinct()
+    return quoted.mapInArrow(run, "val string").groupBy("val").agg(F.count("*").alias("n")).where(F.col("n") >= support).select("val")
+
+
+def gathered(dictionary: DataFrame, most: int = DICTIONARY_BYTES) -> list[str] | None:
+    """A dictionary of at most ``most`` bytes as a list; None for a larger one."""
+    size = dictionary.agg(F.coalesce(F.sum(F.octet_length("val")), F.lit(0))).first()[0]
+    return sorted(r["val"] for r in dictionary.collect()) if size <= most else None
+
+
+def spans(cell: str, pattern: re.Pattern) -> list[str]:
+    """Every text of a cell from the begin of one unquoted piece to the end of a later one, quoted pieces apart."""
+    if as_list(cell) is not None:
+        return []
+    out, toks = set(), tokens(cell, pattern)
+    for i, t in enumerate(toks):
+        for u in toks[i + 1 :]:
+            if t.quoted or u.quoted:
+                break
+            out.add(cell[t.begin : u.end].strip())
+    return sorted(out)
+
+
+def with_known(df: DataFrame, column: str, style: Style, dictionary: DataFrame, out: str) -> DataFrame:
+    """Rows with the dictionary's values that occur in their cell: the way for dictionaries of any size, by a join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pattern = style.pattern
+        for b in batches:
+            cells, vals = [], []
+            for c in b.column(0):
+                found = spans(c.as_py(), pattern)
+                cells += [c.as_py()] * len(found)
+                vals += found
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.string()), pa.array(vals, pa.string())], names=["__cell", "val"])
+
+    cells = df.select(column).where(F.col(column).isNotNull()).distinct()
+    met = cells.mapInArrow(run, "__cell string, val string").join(dictionary, "val")
+    known = met.groupBy("__cell").agg(F.collect_set("val").alias(out))
+    return df.join(known, df[column] == known["__cell"], "left").drop("__cell")
 
 
 def split_fields(
-    df: DataFrame, key: str, styles: dict[str, Style], dictionaries: dict[str, list[str]] | None = None
+    df: DataFrame, key: str, styles: dict[str, Style], dictionaries: dict[str, DataFrame] | None = None, most: int = DICTIONARY_BYTES
 ) -> DataFrame:
-    """(key, field_name, pos, val), one row a value; no shuffle. ``pos`` counts from 1 over the kept values."""
-    known_values = dictionaries or {}
+    """(key, field_name, pos, val), one row a value. ``pos`` counts from 1 over the kept values.
+
+    Without dictionaries, or with such as are sent to the workers, nothing is shuffled.
+    """
+    sent: dict[str, list[str]] = {}
     picked = df.select(F.col(key), *[F.col(c).alias(f"__{k}") for k, c in enumerate(styles)])
+    for k, c in enumerate(styles):
+        none = F.lit(None).cast("array<string>").alias(f"__known{k}")
+        if c in (dictionaries or {}):
+            if (vals := gathered(dictionaries[c], most)) is None:
+                picked = with_known(picked, f"__{k}", styles[c], dictionaries[c], f"__known{k}")
+                continue
+            sent[c] = vals
+        picked = picked.select("*", none)
+    picked = picked.select(F.col(key), *[f"__{k}" for k in range(len(styles))], *[f"__known{k}" for k in range(len(styles))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = [(c, s.pattern, automaton(known_values.get(c, []))) for c, s in styles.items()]
+        ready = [(c, s.pattern, automaton(sent.get(c, []))) for c, s in styles.items()]
         for b in batches:
             place, names, pos, vals = [], [], [], []
             for k, (name, pattern, known) in enumerate(ready, 1):
-                for r, cell in enumerate(b.column(k)):
-                    for p, v in enumerate(split_cell(cell.as_py(), pattern, known), 1):
+                for r, (cell, own) in enumerate(zip(b.column(k), b.column(k + len(ready)))):
+                    at_hand = automaton(own.as_py()) if own.is_valid else known
+                    for p, v in enumerate(split_cell(cell.as_py(), pattern, at_hand), 1):
                         place.append(r)
                         names.append(name)
                         pos.append(p)
@@ -215,8 +259,14 @@ def split_fields(
     return picked.mapInArrow(run, f"`{key}` {kind}, field_name string, pos bigint, val string")
 
 
-def issue_values(issues: DataFrame, support: int = 20) -> DataFrame:
-    """The labels and comments of issues, distinct rows of (issue_key, field_name, pos, val)."""
+def issue_values(issues: DataFrame, support: int = SUPPORT, known: DataFrame | None = None) -> DataFrame:
+    """The labels and comments of issues, distinct rows of (issue_key, field_name, pos, val).
+
+    ``known``: (val), label values that are known to be whole beside those learnt from the cells.
+    """
     styles = {"labels": LABELS, "comments": COMMENTS}
     learnt = {c: learn(issues, c, s, support) for c, s in styles.items()}
+    if known is not None:
+        inside = known.where(F.trim("val").rlike(LABELS.delimiters)).select(F.trim("val").alias("val"))
+        learnt["labels"] = learnt["labels"].union(inside).distinct()
     return split_fields(issues, "issue_key", styles, learnt).distinct()

@@ -28,7 +28,8 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return packed.issue_values(table(spark, d, "issues_df"))
+    known = table(spark, d, "label_mapping").select(F.col("raw_label").alias("val")).where("val is not null")
+    return packed.issue_values(table(spark, d, "issues_df"), known=known)
 
 
 _ORPHANS = r"""
