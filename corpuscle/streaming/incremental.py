@@ -1,8 +1,8 @@
 """Structured Streaming forms of the incremental operators.
 
 Enrichment is a row map with static lookups, so a stream needs no state. Orphan references are kept as signed counts per
-key: every micro-batch adds its deltas to a table of counts, rewritten by hash bucket, and the current report is the
-keys with references and no existence.
+key: every micro-batch appends its summed deltas, which are folded into one table of counts from time to time, and the
+current report is the keys with references and no existence.
 """
 
 from __future__ import annotations
@@ -37,6 +37,12 @@ def reference_deltas(documents: DataFrame, ids: str = "id", links: str = "explic
     return there.union(refs.select("key", F.lit(1).cast("long").alias("refs"), F.lit(0).cast("long").alias("there")))
 
 
+def judgment_deltas(qrels: DataFrame, listed: str = "candidate_ids") -> DataFrame:
+    """(key, refs, there) of new judgments: +1 reference of each candidate."""
+    refs = qrels.select(F.explode(listed).alias("entry")).select(spelled_number(F.col("entry")).alias("key")).where("key is not null")
+    return refs.select("key", F.lit(1).cast("long").alias("refs"), F.lit(0).cast("long").alias("there"))
+
+
 def merge_counts(counts: DataFrame, deltas: DataFrame) -> DataFrame:
     """Counts with deltas added; keys whose counts are all zero are dropped."""
     both = counts.select("key", "refs", "there").union(deltas.select("key", "refs", "there"))
@@ -49,29 +55,50 @@ def orphans(counts: DataFrame) -> DataFrame:
 
 
 class OrphanCounts:
-    """A table of signed counts in a folder, one version for each micro-batch; a repeated batch is not counted twice."""
+    """A table of signed counts in a folder; a repeated micro-batch is not counted twice.
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    A batch writes only the sums of its own deltas, ``v<batch>``. Every ``fold`` batches all of them are folded into one,
+    ``all<batch>``, and what it replaces is deleted.
+    """
 
-    def _version(self) -> int:
+    def __init__(self, spark: SparkSession, folder: str, fold: int = 20):
+        self.spark, self.folder, self.fold = spark, folder, fold
+
+    def _fs(self):
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         root = jvm.org.apache.hadoop.fs.Path(self.folder)
-        fs = root.getFileSystem(conf)
+        return jvm.org.apache.hadoop.fs.Path, root, root.getFileSystem(conf)
+
+    def _versions(self) -> tuple[int, list[int]]:
+        """The last folded batch (or -1), and the batches after it that are whole."""
+        path, root, fs = self._fs()
         if not fs.exists(root):
-            return -1
-        done = [s.getPath() for s in fs.listStatus(root) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return max([int(p.getName()[1:]) for p in done if p.getName().startswith("v")], default=-1)
+            return -1, []
+        done = [s.getPath().getName() for s in fs.listStatus(root) if fs.exists(path(s.getPath(), "_SUCCESS"))]
+        folded = max([int(n[3:]) for n in done if n.startswith("all")], default=-1)
+        return folded, sorted(b for n in done if n.startswith("v") and (b := int(n[1:])) > folded)
+
+    def _version(self) -> int:
+        folded, later = self._versions()
+        return max([folded, *later])
 
     def counts(self) -> DataFrame:
-        v = self._version()
-        return self.spark.createDataFrame([], COUNTS) if v < 0 else self.spark.read.schema(COUNTS).parquet(f"{self.folder}/v{v}")
+        folded, later = self._versions()
+        paths = [f"{self.folder}/all{folded}"] * (folded >= 0) + [f"{self.folder}/v{b}" for b in later]
+        empty = self.spark.createDataFrame([], COUNTS)
+        return merge_counts(self.spark.read.schema(COUNTS).parquet(*paths), empty) if paths else empty
 
     def add(self, deltas: DataFrame, batch: int) -> None:
         """The body of ``foreachBatch``."""
         if batch <= self._version():
             return
-        merge_counts(self.counts(), deltas).write.mode("overwrite").parquet(f"{self.folder}/v{batch}")
+        merge_counts(deltas, self.spark.createDataFrame([], COUNTS)).write.mode("overwrite").parquet(f"{self.folder}/v{batch}")
+        folded, later = self._versions()
+        if len(later) >= self.fold:
+            self.counts().write.mode("overwrite").parquet(f"{self.folder}/all{batch}")
+            path, _, fs = self._fs()
+            for name in [f"v{b}" for b in later] + [f"all{folded}"]:
+                fs.delete(path(f"{self.folder}/{name}"), True)
 
     def start(self, deltas: DataFrame, checkpoint: str) -> StreamingQuery:
         return deltas.writeStream.foreachBatch(self.add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
