@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpuscle.operators.references import spelled_number
 from corpuscle.session import spread
 
 _TEXTS = "array<string>"
@@ -93,17 +94,33 @@ def with_issue_key(links: DataFrame, issues: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: list[Column], offset: int = 0, out: str = "id") -> DataFrame:
-    """Rows with a running number from 1 + offset by ``order``.
+    """Rows with a running number from 1 + offset by ``order``, which should be total; ascending, nulls first.
 
-    Range-partitioned: every partition numbers its own rows after the sum of the partitions before it, so no task ever
-    holds all rows. The order should be total.
+    Ranges of the order are fixed first, from a sample of its keys by hash, so that every use of them sees the same ones
+    whatever other columns it reads. Every range numbers its own rows after the sizes of the ranges before it: one shuffle of
+    the rows, and no task ever holds all of them.
     """
-    # a given number of partitions is not changed at run time, so both uses below see the same ones
-    ranged = rows.repartitionByRange(spread(rows), *order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    local = ranged.withColumn("__r", F.row_number().over(W.partitionBy("__p").orderBy(*order)))
-    sizes = local.groupBy("__p").agg(F.count("*").alias("__n"))
+    keys = [f"__o{i}" for i in range(len(order))]
+    keyed = rows.withColumns(dict(zip(keys, order)))
+    parts = spread(rows)
+    sample = keyed.select(*keys).orderBy(F.xxhash64(*keys)).limit(20 * parts).orderBy(*keys).collect()
+    bounds = list(dict.fromkeys(tuple(sample[i * len(sample) // parts]) for i in range(1, parts))) if sample else []
+    kinds = [keyed.schema[k].dataType for k in keys]
+    limits = [F.struct(*[F.lit(v).cast(t).alias(k) for k, v, t in zip(keys, one, kinds)]) for one in bounds]
+    at = F.struct(*keys)
+
+    def place(low: int, high: int) -> Column:
+        """How many bounds are not above the key, by halving."""
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(at < limits[mid], place(low, mid)).otherwise(place(mid + 1, high))
+
+    ranged = keyed.withColumn("__p", place(0, len(limits)))
+    sizes = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
     before = sizes.select("__p", F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
-    return local.join(F.broadcast(before), "__p").withColumn(out, (F.col("__r") + F.col("__b") + offset).cast("long")).drop("__p", "__r", "__b")
+    local = ranged.withColumn("__r", F.row_number().over(W.partitionBy("__p").orderBy(*keys)))
+    return local.join(F.broadcast(before), "__p").withColumn(out, (F.col("__r") + F.col("__b") + offset).cast("long")).drop("__p", "__r", "__b", *keys)
 
 
 def chunks(rows: DataFrame, order: list[Column], size: int) -> DataFrame:
@@ -112,8 +129,8 @@ def chunks(rows: DataFrame, order: list[Column], size: int) -> DataFrame:
 
 
 def resolved(rows: DataFrame, key: str, listed: str, ids: DataFrame, native: str, out: str) -> DataFrame:
-    """(key, out): listed native ids replaced by ids, order and repetitions kept, unknown ones dropped; empty if none."""
-    each = rows.select(key, F.posexplode(listed).alias("pos", native))
+    """(key, out): listed native ids, rendered plainly, replaced by ids, order and repetitions kept, unknown ones dropped; empty if none."""
+    each = rows.select(key, F.posexplode(listed).alias("pos", "entry")).select(key, "pos", plain_id(F.col("entry")).alias(native))
     found = each.join(ids, native).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x.id).alias(out))
     kind = dict(ids.dtypes)["id"]
     return rows.select(key).distinct().join(found, key, "left").select(key, F.coalesce(out, F.array().cast(f"array<{kind}>")).alias(out))
@@ -154,10 +171,16 @@ def query_documents(queries: DataFrame, papers: DataFrame) -> tuple[DataFrame, D
     return docs, q.select(*qrel(F.col("id"), F.col("gold"), "corpusid_match"))
 
 
+def plain_id(entry: Column) -> Column:
+    """An id as documents have it: the number it spells in plain digits, or else the trimmed text; null if blank."""
+    return F.coalesce(spelled_number(entry), F.nullif(F.trim(entry), F.lit("")))
+
+
 def long_qrels(qrels: DataFrame) -> DataFrame:
-    """(query_id, candidate_id, relation_type), distinct; lists or single candidates, entries trimmed, blank ones dropped."""
+    """(query_id, candidate_id, relation_type), distinct; lists or single candidates, ids rendered plainly, blank ones dropped."""
     one = F.array("candidate_id") if "candidate_id" in qrels.columns else F.lit(None).cast(_TEXTS)
-    each = qrels.select("query_id", F.explode(F.coalesce("candidate_ids", one)).alias("candidate_id"), "relation_type")
+    each = qrels.select("query_id", F.explode(F.coalesce("candidate_ids", one)).alias("c"), "relation_type")
+    each = each.select(plain_id(F.col("query_id")).alias("query_id"), plain_id(F.col("c")).alias("candidate_id"), "relation_type")
     return each.where("query_id is not null and candidate_id is not null").distinct()
 
 

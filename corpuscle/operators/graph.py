@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.functions.text import blank
+from corpuscle.operators.align import plain_id
 
 CAP = 50
 
@@ -65,9 +66,10 @@ def among(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def explicit_edges(docs: DataFrame, relation: Column, nodes: DataFrame) -> DataFrame:
     """(src, dst, relation, weight): explicit links between nodes; no self-loops, repeated links add 1 each.
 
-    Links name documents by id; the edges are on doc_id.
+    Links name documents by id, rendered in any way; the edges are on doc_id.
     """
-    ends = docs.select("doc_id", relation.alias("relation"), F.explode("explicit_related_ids").alias("id")).withColumnRenamed("doc_id", "src")
+    ends = docs.select(F.col("doc_id").alias("src"), relation.alias("relation"), F.explode("explicit_related_ids").alias("entry"))
+    ends = ends.select("src", "relation", plain_id(F.col("entry")).alias("id"))
     found = ends.join(docs.select("id", F.col("doc_id").alias("dst")), "id").where("src <> dst")
     return among(found.groupBy("src", "dst", "relation").agg(F.count("*").cast("double").alias("weight")), nodes)
 
@@ -102,20 +104,40 @@ def relation_histogram(edges: DataFrame, doc_id: DataFrame) -> DataFrame:
     return ins.union(outs).groupBy("direction", "relation").agg(F.count("*").alias("n"))
 
 
+def link_members(links: DataFrame, key: str = "issue_key", via: str = "pull_url") -> DataFrame:
+    """(via, key, n): the distinct members of every pull request and how many it has."""
+    pairs = links.where(f"{key} is not null and {via} is not null").select(via, key).distinct()
+    return pairs.join(pairs.groupBy(via).agg(F.count("*").alias("n")), via)
+
+
 def linked(links: DataFrame, key: str = "issue_key", via: str = "pull_url", cap: int = CAP) -> DataFrame:
-    """(key, related, hubs): issues that share a pull request.
+    """(key, related, hubs, n_links): issues that share a pull request.
 
     ``related`` lists the other issues of all pulls with at most ``cap`` issues; pulls of more issues are named in
     ``hubs``, and their issues are the rows that name them, so no link is lost and none is written out quadratically.
-    Both lists are sorted and distinct; issues without links have empty lists.
+    ``n_links`` counts all links of an issue: the other issues of each of its pulls, large ones too. Both lists are sorted and
+    distinct; issues without links have empty lists.
     """
-    m = links.where(f"{key} is not null").select(key, via)
-    pairs = m.where(f"{via} is not null").distinct()
-    size = pairs.groupBy(via).agg(F.count("*").alias("n")).where("n > 1")
-    sized = pairs.join(size, via)
+    sized = link_members(links, key, via).where("n > 1")
     small = sized.where(F.col("n") <= cap).select(key, via)
     related = small.join(small.withColumnRenamed(key, "other"), via).where(F.col(key) != F.col("other")).groupBy(key).agg(F.array_sort(F.collect_set("other")).alias("related"))
-    hubs = sized.where(F.col("n") > cap).groupBy(key).agg(F.array_sort(F.collect_set(via)).alias("hubs"))
-    out = m.select(key).distinct().join(related, key, "left").join(hubs, key, "left")
+    large = F.when(F.col("n") > cap, F.col(via))
+    hubs = sized.groupBy(key).agg(F.array_sort(F.collect_set(large)).alias("hubs"), F.sum(F.col("n") - 1).alias("n_links"))
+    out = links.where(f"{key} is not null").select(key).distinct().join(related, key, "left").join(hubs, key, "left")
     none = F.array().cast("array<string>")
-    return out.select(key, F.coalesce("related", none).alias("related"), F.coalesce("hubs", none).alias("hubs"))
+    return out.select(key, F.coalesce("related", none).alias("related"), F.coalesce("hubs", none).alias("hubs"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def issue_qrels(links: DataFrame, ids: DataFrame, cap: int = CAP) -> DataFrame:
+    """(query_id, candidate_id, pull_url, n): judgments of kind ``linked_issue`` between known issues (``ids``: issue_key, id).
+
+    Pairs of issues that share a pull of at most ``cap`` known issues have null pull_url and n; an issue of a larger pull has one
+    row with the pull and its number of issues and no candidate: its candidates are the other rows of that pull.
+    """
+    known = link_members(links.join(ids, "issue_key").select(F.col("id"), "pull_url"), "id").where("n > 1")
+    small = known.where(F.col("n") <= cap).select("pull_url", F.col("id").alias("query_id"))
+    pairs = small.join(small.withColumnRenamed("query_id", "candidate_id"), "pull_url").where("query_id <> candidate_id").select("query_id", "candidate_id").distinct()
+    pairs = pairs.select("query_id", "candidate_id", F.lit(None).cast("string").alias("pull_url"), F.lit(None).cast("long").alias("n"))
+    kind = dict(ids.dtypes)["id"]
+    large = known.where(F.col("n") > cap).select(F.col("id").alias("query_id"), F.lit(None).cast(kind).alias("candidate_id"), "pull_url", "n")
+    return pairs.union(large)

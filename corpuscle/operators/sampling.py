@@ -32,17 +32,18 @@ def grouped_sample(qrels: DataFrame, docs: DataFrame, budget: int, seed: int = 4
     """Ids of about ``budget`` documents that keep queries together with all their candidates.
 
     Groups (a query and its candidates) are taken in hash order; a group that does not fit is passed over. What is left
-    of the budget is filled with other documents in hash order. Greedy packing is sequential: the driver walks over
-    groups (ids only) until the budget is full, never over more groups than the budget has room for plus those passed
-    over, which are streamed.
+    of the budget is filled with other documents in hash order. Greedy packing is sequential: the driver walks over the
+    groups of at most the budget's size (ids only, streamed) until not even two documents have room.
     """
-    groups = qrels.groupBy("query_id").agg(F.collect_set("candidate_id").alias("c"))
+    pairs = qrels.select("query_id", "candidate_id").distinct()
+    fits = pairs.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") <= budget)
+    groups = pairs.join(fits.select("query_id"), "query_id").groupBy("query_id").agg(F.collect_set("candidate_id").alias("c"))
     taken: set[str] = set()
     for r in groups.orderBy(hash_order(F.col("query_id"), seed), "query_id").toLocalIterator():
         group = {r["query_id"], *r["c"]}
         if len(taken | group) <= budget:
             taken |= group
-        if len(taken) >= budget:
+        if len(taken) >= budget - 1:
             break
     spark = docs.sparkSession
     ids = spark.createDataFrame([(x,) for x in sorted(taken)], "id string")

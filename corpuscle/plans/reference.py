@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.functions import structured, text
-from corpuscle.operators import align, enrich, graph, metrics, retrieval, sampling, validate
+from corpuscle.operators import align, enrich, graph, metrics, nested, retrieval, sampling, validate
 from corpuscle.session import cut, table
 
 K = 10
@@ -18,7 +18,7 @@ GRID = [{"metadata": a, "title": b, "main_text": c} for a, b, c in ((1.0, 1.0, 2
 PRICES = {"nano": (0.05, 0.4), "mini": (0.25, 2.0)}
 ALPHAS = [0.5] * 5
 
-# --- inputs -----------------------------------------------------------------------------------------------------------
+# inputs
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
@@ -49,10 +49,10 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vector_edges(v: DataFrame) -> DataFrame:
-    """Edges between vectors of one label and one twentieth of the ids."""
-    value = F.array(F.concat_ws("|", "label", F.col("doc_id") % 20))
-    keyed = graph.keys(v, "share bucket", value, F.lit("v"))
-    return graph.shared_edges(keyed, 0.5)
+    """Edges between vectors of one label and one part of its ids; a label has a part for every ten vectors, so that no part grows."""
+    parts = v.groupBy("label").agg(F.ceil(F.count("*") / 10).alias("parts"))
+    value = F.array(F.concat_ws("|", "label", F.col("doc_id") % F.col("parts")))
+    return graph.shared_edges(graph.keys(v.join(parts, "label"), "share bucket", value, F.lit("v")), 0.5)
 
 
 def out(ranking: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def out(ranking: DataFrame) -> DataFrame:
     return ranking.select("query_id", "doc_id", (F.floor(F.col("score") * 1e6 + 0.5) / 1e6).alias("score"), "rank")
 
 
-# --- retrieval --------------------------------------------------------------------------------------------------------
+# retrieval
 
 
 def _bm25(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -165,7 +165,7 @@ def gat_base_topk(spark: SparkSession, d: str) -> DataFrame:
     return out(retrieval.dense(v, q, K, extra=0, epsilon=1e-10))
 
 
-# --- graphs -----------------------------------------------------------------------------------------------------------
+# graphs
 
 
 def _fields(x: DataFrame) -> DataFrame:
@@ -227,10 +227,10 @@ def graph_hub_relations(spark: SparkSession, d: str) -> DataFrame:
 
 def linked_issues(spark: SparkSession, d: str) -> DataFrame:
     got = graph.linked(table(spark, d, "links"))
-    return got.select("issue_key", *[F.array_join(c, " ").alias(c) for c in ("related", "hubs")])
+    return got.select("issue_key", *[F.array_join(c, " ").alias(c) for c in ("related", "hubs")], "n_links")
 
 
-# --- alignment and enrichment -----------------------------------------------------------------------------------------
+# alignment and enrichment
 
 
 def qrels_long(spark: SparkSession, d: str) -> DataFrame:
@@ -255,21 +255,37 @@ def label_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def raw_issue_links(spark: SparkSession, d: str) -> DataFrame:
-    """Links of the raw issues that have the nominal shape."""
-    from corpuscle.schema import RAW_ISSUE
+    """Links of the raw issues, whatever their shape."""
+    return nested.issue_links(table(spark, d, "issues_raw"))
 
-    raw = table(spark, d, "issues_raw").select(F.from_json("payload", RAW_ISSUE).alias("r")).select("r.*")
-    return align.flat_links(raw.where("issue_no is not null"))
+
+def _known_issues(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Issues with running ids, and their (issue_key, id)."""
+    issues = align.numbered(table(spark, d, "issues_df").dropDuplicates(["issue_key"]), [F.col("issue_key")])
+    return issues, cut(issues.select("issue_key", "id"))
 
 
 def issue_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of issues with running ids, flattened again."""
-    once = table(spark, d, "issues_df").dropDuplicates(["issue_key"])
-    keyed = align.numbered(once, [F.col("issue_key")]).withColumn("id", F.col("id").cast("string"))
-    linked = table(spark, d, "links").select("issue_key", "pull_url")
-    related = graph.linked(linked).select("issue_key", "related")
-    got = align.issue_documents(keyed, label_normalize(spark, d), related)
-    return got.select("id", "source_dataset", F.size("secondary_texts").alias("n_comments"), F.col("structured_fields.hierarchical").alias("hierarchical"), F.size("relations.explicit_related_ids").alias("n_related"), F.col("raw_source.native_id").alias("native_id"))
+    """Documents of issues with running ids and the ids of related issues, flattened again.
+
+    Issues of a pull with more than ``graph.CAP`` issues are related through the pull (``hubs``); ``n_links`` counts all links.
+    """
+    issues, ids = _known_issues(spark, d)
+    known = graph.linked(table(spark, d, "links").join(ids.select("issue_key"), "issue_key", "left_semi"))
+    links = known.select("issue_key", "related", "hubs", "n_links")
+    related = align.resolved(links, "issue_key", "related", ids.select(F.col("issue_key").alias("native"), F.col("id").cast("string").alias("id")), "native", "related")
+    docs_ = align.issue_documents(issues.withColumn("id", F.col("id").cast("string")), label_normalize(spark, d), related)
+    flat = docs_.select(
+        "id", "source_dataset", F.size("secondary_texts").alias("n_comments"), F.col("structured_fields.hierarchical").alias("hierarchical"),
+        F.array_join("relations.explicit_related_ids", " ").alias("related"), F.col("raw_source.native_id").alias("native_id"),
+    )
+    more = links.select(F.col("issue_key").alias("native_id"), F.array_join("hubs", " ").alias("hubs"), "n_links")
+    return flat.join(more, "native_id", "left").fillna({"hubs": "", "n_links": 0})
+
+
+def issue_qrels(spark: SparkSession, d: str) -> DataFrame:
+    """Judgments between issues that share a pull; those of large pulls by membership."""
+    return graph.issue_qrels(table(spark, d, "links"), _known_issues(spark, d)[1])
 
 
 def related_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -282,8 +298,8 @@ def related_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def id_assignment(spark: SparkSession, d: str) -> DataFrame:
     """Running ids: documents first, then links."""
-    a = docs(spark, d).select(F.lit(0).alias("part"), F.col("doc_id").cast("string").alias("native"))
-    b = table(spark, d, "issues_df").select(F.lit(1).alias("part"), F.col("issue_key").alias("native")).distinct()
+    a = docs(spark, d).select(F.lit(0).alias("part"), F.col("doc_id").cast("string").alias("native"), F.md5("text").alias("content"))
+    b = table(spark, d, "issues_df").select(F.lit(1).alias("part"), F.col("issue_key").alias("native"), F.md5("issue_body").alias("content")).distinct()
     return align.numbered(a.union(b), [F.col("part"), F.col("native")])
 
 
@@ -329,7 +345,7 @@ def citation_queries(spark: SparkSession, d: str) -> DataFrame:
     return enrich.citation_queries(docs(spark, d)).select("query_id", F.size("candidate_ids").cast("long").alias("n_candidates"), "relation_type")
 
 
-# --- checks, sampling and small utilities -----------------------------------------------------------------------------
+# checks, sampling and small utilities
 
 
 def doc_dedup(spark: SparkSession, d: str) -> DataFrame:
@@ -396,7 +412,7 @@ QUERIES = {
         bm25_topk, bm25_metrics, bm25_metrics_mean, bm25_details, lexical_topk, lexical_labels_topk, charm_topk, charm_param_search,
         method_comparison, comparison_summary, dense_topk, dense_metrics_mean, sage_topk, gnn_ret_topk, gat_base_topk,
         shared_field_edges, hier_prefix_edges, entity_edges, explicit_edges, graph_degree_stats, graph_hub, graph_hub_relations,
-        linked_issues, qrels_long, qrels_valid, link_issue_keys, label_normalize, label_counts, raw_issue_links, issue_documents,
+        linked_issues, issue_qrels, qrels_long, qrels_valid, link_issue_keys, label_normalize, label_counts, raw_issue_links, issue_documents,
         related_ids, id_assignment, chunking, struct_filter, metadata_text, prepared_text, hier_paths, hierarchy_parse,
         metadata_enrich, citation_queries, doc_dedup, duplicate_rows, missing_ids, status_counts, validation_counts,
         sanity_rules, common_people, cost_estimate, corpus_fingerprint, train_split, query_sample, sample_groups,

@@ -6,8 +6,17 @@ from corpuscle.functions.structured import FIELD_PATH, METHOD_PATH
 from corpuscle.functions.text import SPACE
 from corpuscle.plans.reference import ALPHAS, GRID, PRICES, K
 
-# --- building blocks --------------------------------------------------------------------------------------------------
+# building blocks
 
+NUMBER = r"^[\s\p{Z}]*#?[\s\p{Z}]*0*([0-9]+?)(\.0*)?[\s\p{Z}]*$"
+
+
+def plain_id(c: str) -> str:
+    return f"coalesce(nullif(regexp_extract({c}, '{NUMBER}', 1), ''), nullif(trim({c}), ''))"
+
+
+LONG = f"""long AS (SELECT DISTINCT * FROM (SELECT {plain_id('query_id')} AS query_id, {plain_id('cid')} AS candidate_id, relation_type FROM
+  (SELECT query_id, unnest(candidate_ids) AS cid, relation_type FROM qrels)) WHERE query_id IS NOT NULL AND candidate_id IS NOT NULL)"""
 DOCS = "d AS (SELECT * FROM documents QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC NULLS LAST, doc_id DESC) = 1)"
 
 
@@ -43,8 +52,7 @@ TEXTS = f"""t AS (SELECT doc_id, id, source_type, is_candidate, {META} AS metada
   coalesce(title, '') AS title, coalesce(main_text, '') AS main_text,
   concat_ws(' ', nullif(title, ''), nullif(main_text, '')) AS plain,
   concat_ws(' ', nullif(title, ''), nullif({META}, ''), nullif(main_text, '')) AS labelled, {STRUCTURED} AS has_structure FROM d)"""
-TRUTH = """tr AS (SELECT DISTINCT q.doc_id AS query_id, c.doc_id FROM
-  (SELECT query_id, unnest(candidate_ids) AS cid FROM qrels) l JOIN d q ON q.id = l.query_id JOIN d c ON c.id = l.cid)"""
+TRUTH = f"""{LONG}, tr AS (SELECT DISTINCT q.doc_id AS query_id, c.doc_id FROM long l JOIN d q ON q.id = l.query_id JOIN d c ON c.id = l.candidate_id)"""
 CORPUS = f"{DOCS}, {TEXTS}, {TRUTH}, c AS (SELECT * FROM t WHERE has_structure), q AS (SELECT * FROM c WHERE doc_id IN (SELECT query_id FROM tr))"
 CANDIDATES = "s AS (SELECT * FROM c WHERE coalesce(is_candidate, true))"
 PAPERS = "s AS (SELECT * FROM c WHERE source_type <> 'query')"
@@ -131,8 +139,8 @@ def cosines(epsilon: bool) -> str:
     return f"sc AS (SELECT q.doc_id AS query_id, v.doc_id, round(CASE WHEN {down} <> 0 THEN list_dot_product(q.e, v.e) / {down} ELSE 0 END, 9) AS score FROM q CROSS JOIN v)"
 
 
-_BUCKET = "bk AS (SELECT label, doc_id % 20 AS b FROM v GROUP BY ALL HAVING count(*) BETWEEN 2 AND 50)"
-VEDGES = f"{_BUCKET}, e AS (SELECT a.doc_id AS src, b.doc_id AS dst, 0.5 AS weight FROM v a JOIN v b ON a.label = b.label AND a.doc_id % 20 = b.doc_id % 20 JOIN bk ON bk.label = a.label AND bk.b = a.doc_id % 20 WHERE a.doc_id <> b.doc_id)"
+_BUCKET = "vb AS (SELECT doc_id, label, doc_id % CAST(ceil(count(*) OVER (PARTITION BY label) / 10) AS BIGINT) AS b FROM v), bk AS (SELECT label, b FROM vb GROUP BY ALL HAVING count(*) BETWEEN 2 AND 50)"
+VEDGES = f"{_BUCKET}, e AS (SELECT x.doc_id AS src, y.doc_id AS dst, 0.5 AS weight FROM vb x JOIN vb y USING (label, b) JOIN bk USING (label, b) WHERE x.doc_id <> y.doc_id)"
 
 SAGE = f"""WITH {VECTORS}, {cosines(True)}, {VEDGES},
 seed AS (SELECT query_id, doc_id, score FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= {2 * K}),
@@ -208,10 +216,14 @@ LABEL_MAP = "lm AS (SELECT trim(raw_label) AS raw, arg_max(trim(normalized_path)
 NORMALISED = f"""{LABEL_MAP}, l AS (SELECT DISTINCT issue_key, trim(unnest(string_split(labels, '|'))) AS raw FROM issues_df),
 n AS (SELECT issue_key, coalesce(f.normalized, '') AS normalized FROM (SELECT DISTINCT issue_key FROM issues_df) LEFT JOIN
   (SELECT issue_key, array_to_string(list_sort(list(DISTINCT path)), '|') AS normalized FROM l JOIN lm USING (raw) GROUP BY ALL) f USING (issue_key))"""
-LINKED = """pr AS (SELECT DISTINCT issue_key, pull_url FROM links WHERE issue_key IS NOT NULL AND pull_url IS NOT NULL),
+LINKED = """pr AS (SELECT DISTINCT issue_key, pull_url FROM links WHERE issue_key IS NOT NULL AND pull_url IS NOT NULL {known}),
 sz AS (SELECT pull_url, count(*) AS n FROM pr GROUP BY ALL HAVING count(*) > 1),
-rel AS (SELECT a.issue_key, list_sort(list(DISTINCT b.issue_key)) AS related FROM pr a JOIN pr b USING (pull_url) JOIN sz USING (pull_url) WHERE n <= 50 AND a.issue_key <> b.issue_key GROUP BY ALL),
-hub AS (SELECT issue_key, list_sort(list(DISTINCT pull_url)) AS hubs FROM pr JOIN sz USING (pull_url) WHERE n > 50 GROUP BY ALL)"""
+pairs AS (SELECT a.issue_key, b.issue_key AS other, pull_url, n FROM pr a JOIN pr b USING (pull_url) JOIN sz USING (pull_url) WHERE a.issue_key <> b.issue_key),
+rel AS (SELECT issue_key, list_sort(list(DISTINCT other)) AS related FROM pairs WHERE n <= 50 GROUP BY ALL),
+hub AS (SELECT issue_key, list_sort(list(DISTINCT pull_url) FILTER (n > 50)) AS hubs, count(*) AS n_links FROM pairs GROUP BY ALL)"""
+ISSUE_IDS = """ii AS (SELECT issue_key, any_value(repository) AS repository, any_value(comments) AS comments FROM issues_df GROUP BY issue_key),
+ids AS (SELECT *, row_number() OVER (ORDER BY issue_key) AS id FROM ii)"""
+KNOWN_LINKS = LINKED.format(known="AND issue_key IN (SELECT issue_key FROM issues_df)")
 _HASH = "md5('42|' || {})"
 
 _rules = [f"json_extract(hierarchical, '$.{k}') IS NULL" for k in ("affiliations", "field_of_study_path", "method_path")]
@@ -260,7 +272,7 @@ SELECT 'organizations', unnest({split_values('organizations')}), doc_id FROM d),
 SELECT a.doc_id AS src, b.doc_id AS dst, count(*) AS n FROM k a JOIN k b USING (relation, value) JOIN ok USING (relation, value) WHERE a.doc_id <> b.doc_id GROUP BY ALL""",
     "explicit_edges": f"""WITH {DOCS}, {VALID}, x AS (SELECT * FROM d WHERE source_type IN ('paper', 'github_issue'))
 SELECT a.doc_id AS src, b.doc_id AS dst, CASE WHEN a.source_type = 'paper' THEN 'citation' ELSE 'linked_issue' END AS relation, CAST(count(*) AS DOUBLE) AS weight
-FROM (SELECT doc_id, source_type, unnest(explicit_related_ids) AS id FROM x) a JOIN x b USING (id)
+FROM (SELECT doc_id, source_type, {plain_id('entry')} AS id FROM (SELECT doc_id, source_type, unnest(explicit_related_ids) AS entry FROM x)) a JOIN x b USING (id)
 WHERE a.doc_id <> b.doc_id AND a.doc_id IN (SELECT doc_id FROM node) AND b.doc_id IN (SELECT doc_id FROM node) GROUP BY ALL""",
     "graph_degree_stats": f"""WITH {shared(_FIELDS, 0.5)}, {DEGREES} SELECT count(*) AS n_nodes, round(avg(neighbours), 6) AS avg_neighbours, max(neighbours) AS max_neighbours,
 round(avg(degree), 6) AS avg_degree, round(quantile_cont(degree, 0.5), 6) AS median_degree, round(quantile_cont(degree, 0.95), 6) AS p95_degree,
@@ -269,21 +281,27 @@ round(quantile_cont(degree, 0.99), 6) AS p99_degree, max(degree) AS max_degree F
     "graph_hub_relations": f"""WITH {shared(_FIELDS, 0.5)}, {DEGREES}, hb AS (SELECT doc_id FROM g ORDER BY neighbours DESC, doc_id LIMIT 1)
 SELECT 'IN' AS direction, relation, count(*) AS n FROM e WHERE dst IN (SELECT doc_id FROM hb) GROUP BY ALL UNION ALL
 SELECT 'OUT', relation, count(*) FROM e WHERE src IN (SELECT doc_id FROM hb) GROUP BY ALL""",
-    "linked_issues": f"""WITH {LINKED} SELECT issue_key, coalesce(array_to_string(related, ' '), '') AS related, coalesce(array_to_string(hubs, ' '), '') AS hubs
+    "linked_issues": f"""WITH {LINKED.format(known='')} SELECT issue_key, coalesce(array_to_string(related, ' '), '') AS related, coalesce(array_to_string(hubs, ' '), '') AS hubs, coalesce(n_links, 0) AS n_links
 FROM (SELECT DISTINCT issue_key FROM links WHERE issue_key IS NOT NULL) LEFT JOIN rel USING (issue_key) LEFT JOIN hub USING (issue_key)""",
-    "qrels_long": """SELECT DISTINCT query_id, candidate_id, relation_type FROM (SELECT query_id, unnest(candidate_ids) AS candidate_id, relation_type FROM qrels)
-WHERE query_id IS NOT NULL AND candidate_id IS NOT NULL""",
-    "qrels_valid": f"""WITH {DOCS} SELECT DISTINCT query_id, candidate_id, relation_type FROM (SELECT query_id, unnest(candidate_ids) AS candidate_id, relation_type FROM qrels)
-WHERE query_id IN (SELECT id FROM d) AND candidate_id IN (SELECT id FROM d)""",
+    "issue_documents": f"""WITH {NORMALISED}, {KNOWN_LINKS}, {ISSUE_IDS},
+rid AS (SELECT r.issue_key, string_agg(CAST(o.id AS VARCHAR), ' ' ORDER BY o.id) AS related FROM (SELECT issue_key, unnest(related) AS other FROM rel) r JOIN ids o ON o.issue_key = r.other GROUP BY ALL)
+SELECT CAST(id AS VARCHAR) AS id, repository AS source_dataset, CAST(len(string_split(coalesce(comments, ''), '|')) AS INTEGER) AS n_comments, '["' || replace(normalized, '"', chr(92) || '"') || '"]' AS hierarchical,
+coalesce(related, '') AS related, ids.issue_key AS native_id, coalesce(array_to_string(hubs, ' '), '') AS hubs, coalesce(n_links, 0) AS n_links
+FROM ids JOIN n USING (issue_key) LEFT JOIN rid USING (issue_key) LEFT JOIN hub USING (issue_key)""",
+    "issue_qrels": f"""WITH {KNOWN_LINKS}, {ISSUE_IDS} SELECT DISTINCT a.id AS query_id, b.id AS candidate_id, CAST(NULL AS VARCHAR) AS pull_url, CAST(NULL AS BIGINT) AS n
+FROM pairs p JOIN ids a ON a.issue_key = p.issue_key JOIN ids b ON b.issue_key = p.other WHERE n <= 50
+UNION ALL SELECT DISTINCT id, CAST(NULL AS BIGINT), pull_url, n FROM pairs JOIN ids USING (issue_key) WHERE n > 50""",
+    "qrels_long": f"WITH {LONG} SELECT * FROM long",
+    "qrels_valid": f"WITH {DOCS}, {LONG} SELECT * FROM long WHERE query_id IN (SELECT id FROM d) AND candidate_id IN (SELECT id FROM d)",
     "link_issue_keys": """SELECT l.issue_url, l.pull_url, i.issue_key FROM links l LEFT JOIN (SELECT issue_url, issue_key FROM issues_df WHERE issue_url IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY issue_url ORDER BY exported_at DESC NULLS LAST, issue_key DESC NULLS LAST) = 1) i USING (issue_url)""",
     "label_normalize": f"WITH {NORMALISED} SELECT * FROM n",
     "label_counts": f"WITH {NORMALISED}, x AS (SELECT unnest(string_split(normalized, '|')) AS path FROM n) SELECT path, count(*) AS n FROM x WHERE path <> '' GROUP BY ALL",
-    "related_ids": f"""WITH {DOCS}, x AS (SELECT doc_id, unnest(explicit_related_ids) AS id, generate_subscripts(explicit_related_ids, 1) AS pos FROM d),
+    "related_ids": f"""WITH {DOCS}, x AS (SELECT doc_id, {plain_id('entry')} AS id, pos FROM (SELECT doc_id, unnest(explicit_related_ids) AS entry, generate_subscripts(explicit_related_ids, 1) AS pos FROM d)),
 f AS (SELECT x.doc_id, string_agg(CAST(d.doc_id AS VARCHAR), ' ' ORDER BY pos) AS related FROM x JOIN d USING (id) GROUP BY ALL)
 SELECT doc_id, coalesce(related, '') AS related FROM (SELECT doc_id FROM d) LEFT JOIN f USING (doc_id)""",
-    "id_assignment": f"""WITH {DOCS}, u AS (SELECT 0 AS part, CAST(doc_id AS VARCHAR) AS native FROM d UNION ALL SELECT DISTINCT 1, issue_key FROM issues_df)
-SELECT part, native, row_number() OVER (ORDER BY part, native) AS id FROM u""",
+    "id_assignment": f"""WITH {DOCS}, u AS (SELECT 0 AS part, CAST(doc_id AS VARCHAR) AS native, md5(text) AS content FROM d UNION ALL SELECT DISTINCT 1, issue_key, md5(issue_body) FROM issues_df)
+SELECT part, native, content, row_number() OVER (ORDER BY part, native) AS id FROM u""",
     "chunking": f"""WITH {DOCS}, c AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 250 AS chunk FROM d)
 SELECT chunk, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM c GROUP BY ALL""",
     "struct_filter": f"WITH {DOCS} SELECT doc_id, source_type FROM d WHERE {STRUCTURED}",
@@ -300,8 +318,7 @@ WHERE source_type = 'paper' AND len(explicit_related_ids) > 0 ORDER BY {_HASH.fo
     "duplicate_rows": "SELECT doc_id, id FROM documents QUALIFY count(*) OVER (PARTITION BY id) > 1",
     "missing_ids": "SELECT DISTINCT issue_key FROM issues_df i WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.issue_key = i.issue_key)",
     "status_counts": "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY ALL",
-    "validation_counts": """WITH q AS (SELECT DISTINCT query_id, candidate_id, relation_type FROM (SELECT query_id, unnest(candidate_ids) AS candidate_id, relation_type FROM qrels)
-WHERE query_id IS NOT NULL AND candidate_id IS NOT NULL) SELECT * FROM (SELECT count(*) AS n_pairs, count(DISTINCT query_id) AS n_queries, count(DISTINCT candidate_id) AS n_candidates FROM q),
+    "validation_counts": f"""WITH {LONG} SELECT * FROM (SELECT count(*) AS n_pairs, count(DISTINCT query_id) AS n_queries, count(DISTINCT candidate_id) AS n_candidates FROM long),
 (SELECT count(*) AS n_rows, count(DISTINCT id) AS n_documents FROM documents)""",
     "sanity_rules": SANITY,
     "common_people": "SELECT value, count(*) AS n FROM (SELECT unnest(people) AS value FROM documents) WHERE value IS NOT NULL GROUP BY ALL ORDER BY n DESC, value LIMIT 30",

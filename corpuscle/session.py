@@ -39,13 +39,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints.
 
     ``spark.checkpoint.dir`` of the session wins, as executors on other machines must be able to read it. Only
-    where it is unset (tests on one machine) a temporary folder is made.
+    where it is unset and everything runs on one machine (tests), a temporary folder is made; on a cluster it must be set.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.conf.get("corpuscle.checkpoint.dir", None)
         if not path:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             path = "file://" + tempfile.mkdtemp(prefix="corpuscle-checkpoint-", dir=os.environ.get("TMPDIR"))
             spark.conf.set("corpuscle.checkpoint.dir", path)
     if sc._jsc.sc().getCheckpointDir().isEmpty():

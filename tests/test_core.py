@@ -77,9 +77,9 @@ def test_prefix_edges_and_cap(spark):
 
 def test_linked_issues(spark):
     rows = [("i1", "p1"), ("i2", "p1"), ("i2", "p2"), ("i3", "p2"), ("i4", None), ("i1", "p1"), (None, "p1")] + [(f"h{i}", "hub") for i in range(60)]
-    got = {r.issue_key: (r.related, r.hubs) for r in graph.linked(spark.createDataFrame(rows, "issue_key string, pull_url string")).collect()}
-    assert got["i1"] == (["i2"], []) and got["i2"] == (["i1", "i3"], []) and got["i4"] == ([], [])
-    assert got["h7"] == ([], ["hub"])
+    got = {r.issue_key: (r.related, r.hubs, r.n_links) for r in graph.linked(spark.createDataFrame(rows, "issue_key string, pull_url string")).collect()}
+    assert got["i1"] == (["i2"], [], 1) and got["i2"] == (["i1", "i3"], [], 2) and got["i4"] == ([], [], 0)
+    assert got["h7"] == ([], ["hub"], 59)
 
 
 def test_components(spark):
@@ -147,6 +147,44 @@ def test_numbering_and_chunks(spark):
     assert {r.chunk: r["count"] for r in align.chunks(rows, [F.col("k")], 50).groupBy("chunk").count().collect()} == {0: 50, 1: 50, 2: 3}
 
 
+def test_numbers_are_whole_with_any_other_columns(spark):
+    n = 600_000
+    rows = spark.range(n).select(F.concat(F.lit("k"), F.lpad(F.col("id").cast("string"), 7, "0")).alias("k"), F.col("id"), F.sha2(F.col("id").cast("string"), 256).alias("a"), F.array("id").alias("b"))
+    rows = rows.repartition(7, "a")
+    for _ in range(2):
+        got = align.numbered(rows, [F.col("k")], out="no")
+        r = got.agg(F.count_distinct("no"), F.min("no"), F.max("no"), F.count_if(F.col("no") != F.col("id") + 1)).first()
+        assert tuple(r) == (n, 1, n, 0)
+    two = spark.createDataFrame([(None, 2), (1, None), (1, 5), (0, 9), (None, 1)], "x int, y int")
+    assert [(r.x, r.y) for r in align.numbered(two, [F.col("x"), F.col("y")]).orderBy("id").collect()] == [(None, 1), (None, 2), (0, 9), (1, None), (1, 5)]
+    assert align.numbered(two.where("false"), [F.col("x")]).count() == 0
+
+
+def test_ids_are_read_in_any_rendering(spark):
+    q = spark.createDataFrame([(" 1", ["#2", "2.0", "x y", " ", None]), (None, ["3"])], "query_id string, candidate_ids array<string>").withColumn("relation_type", F.lit("citation"))
+    assert sorted((r.query_id, r.candidate_id) for r in align.long_qrels(q).collect()) == [("1", "2"), ("1", "x y")]
+
+
+def test_issue_qrels_keep_large_pulls_by_membership(spark):
+    links = [("a", "p"), ("b", "p"), ("b", "p"), ("x", "p"), ("a", None)] + [(f"h{i}", "hub") for i in range(60)]
+    ids = spark.createDataFrame([(k, n) for n, k in enumerate(["a", "b"] + [f"h{i}" for i in range(55)])], "issue_key string, id long")
+    got = graph.issue_qrels(spark.createDataFrame(links, "issue_key string, pull_url string"), ids).collect()
+    assert sorted((r.query_id, r.candidate_id) for r in got if r.pull_url is None) == [(0, 1), (1, 0)]
+    assert sum(r.n == 55 for r in got) == 55
+
+
+def test_search_in_several_blocks_equals_one(spark, monkeypatch):
+    from corpuscle.operators import search
+
+    d = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} common") for i in range(60)] + [(60, None), (61, "")], "doc_id long, plain string")
+    one = sorted(map(tuple, retrieval.bm25(d, d.where("doc_id < 20"), 5).collect()))
+    v = spark.createDataFrame([(i, [1.0, float(i % 3)]) for i in range(40)], "doc_id long, embedding array<double>")
+    near = sorted(map(tuple, dense_search(v, v.where("doc_id < 9"), 4).collect()))
+    monkeypatch.setattr(search, "ENTRIES", 9)
+    assert sorted(map(tuple, retrieval.bm25(d, d.where("doc_id < 20"), 5).collect())) == one
+    assert sorted(map(tuple, dense_search(v, v.where("doc_id < 9"), 4).collect())) == near
+
+
 def test_paper_queries_drop_those_without_gold(spark):
     papers = spark.createDataFrame([("p1", 1), ("p2", 2)], "id string, corpusid long")
     q = spark.createDataFrame([("q1", "s", "t", None, "2", [2, 9, 1]), ("q2", "s", "u", "1", None, [9])], "id string, query_set string, query string, specificity string, quality string, corpusids array<long>")

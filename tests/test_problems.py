@@ -93,11 +93,28 @@ def test_known_values_protect_their_delimiters():
     assert packed.split_cell("api, publicity", p, known) == ["api", "publicity"]
 
 
-def test_learning_counts_whole_values(spark):
-    cells = [('"a, b"; c',)] * 3 + [('["a, b", "d|e"]',), ("plain, text",), (None,)]
+def test_learning_counts_cells_with_whole_values(spark):
+    cells = [(f'"a, b"; c{i}',) for i in range(3)] + [('["a, b", "d|e"]',), ("plain, text",), (None,)]
     df = spark.createDataFrame(cells, "labels string")
-    assert packed.learn(df, "labels", packed.LABELS, support=4) == ["a, b"]
-    assert packed.learn(df.where("false"), "labels", packed.LABELS) == []
+    assert packed.gathered(packed.learn(df, "labels", packed.LABELS, support=4)) == ["a, b"]
+    assert packed.gathered(packed.learn(df.where("false"), "labels", packed.LABELS)) == []
+
+
+def values_of(df, most=packed.DICTIONARY_BYTES):
+    styles = {"labels": packed.LABELS}
+    got = packed.split_fields(df, "issue_key", styles, {"labels": packed.learn(df, "labels", packed.LABELS)}, most)
+    return sorted(tuple(r) for r in got.collect())
+
+
+def test_learnt_values_change_cells_and_unrelated_rows_do_not(spark):
+    rows = [("1", '"api, public"|x'), ("2", '["api, public"]'), ("3", "api, public; y"), ("4", '"once, seen"'), ("5", "once, seen"), ("6", None), ("3", "api, public; y")]
+    df = spark.createDataFrame(rows, "issue_key string, labels string")
+    got = values_of(df)
+    assert [r for r in got if r[0] == "3"] == [("3", "labels", 1, "api, public")] * 2 + [("3", "labels", 2, "y")] * 2
+    assert [r[3] for r in got if r[0] == "5"] == ["once", "seen"]
+    more = spark.createDataFrame([(f"u{i}", f'"w, {i % 7}", z{i}') for i in range(300)], "issue_key string, labels string")
+    assert [r for r in values_of(df.union(more)) if not r[0].startswith("u")] == got
+    assert values_of(df, most=3) == got  # a dictionary too large to be sent
 
 
 def test_long_cell_round_trip():
@@ -175,3 +192,52 @@ def test_issue_children_equal_brute_force(spark):
     raw = spark.read.parquet(f"{DATA}/issues_raw.parquet")
     expected = {x for r in raw.collect() for x in brute_children(r.raw_id, r.payload)}
     assert {tuple(r) for r in nested.issue_children(raw).collect()} == expected
+
+
+def test_any_depth_of_nesting(spark):
+    deep, lists = '{"a": ' * 1500 + "1" + "}" * 1500, "[" * 900 + "]" * 900
+    many = {"x": 1}
+    for i in range(300):
+        many = {f"n{i}": many, "y": i}
+    df = spark.createDataFrame([(1, deep), (2, '{"b": ' + lists + "}"), (3, json.dumps(many))], "raw_id long, payload string")
+    rows = nested.shred(df, "raw_id", "payload").groupBy("raw_id").count().collect()
+    assert {r.raw_id: r["count"] for r in rows}[1] == 1501
+    assert nested.issue_children(df).count() == 0
+    g = nested.analyse(df, "payload")
+    assert len(nested.shred_record(many, g)[0][6]) == 301
+    x = []
+    for _ in range(100_000):
+        x = [x]
+    assert nested._text([x, {"k": "v"}]).endswith(', {"k": "v"}]')
+
+
+def test_names_that_are_data_become_entries(spark):
+    rows = [{"id": i, "by_user": {f"u{i}_{j}": {"n": j, "tags": ["t"]} for j in range(20)}} for i in range(50)]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(rows)], "k long, j string")
+    g = nested.analyse(df, "j", most=100)
+    assert g.maps == {"by_user"} and len(g.edges) < 20
+    s = nested.shred(df, "k", "j", g)
+    t = nested.flat_table(s, g, "by_user.*", "k")
+    assert t.count() == 1000 and t.select("k", "name", "n").where("name = 'u7_3'").first()[:] == (7, "u7_3", "3")
+    assert nested.flat_table(s, g, "by_user.*.tags", "k").select("row_id", "k").distinct().count() == 1000
+
+
+def test_issue_links(spark):
+    def node(u):
+        return {"pull_info": {"pull_url": u}}
+
+    full = {"issue_no": 7, "issue_url": "i", "issue_repository": {"nameWithOwner": "o/r"}, "timelineItems": {"nodes": [node("a"), {}, node("a")]}}
+    df = spark.createDataFrame([(1, json.dumps(full)), (2, json.dumps({"timelineItems": {"nodes": node("b")}})), (3, None)], "raw_id long, payload string")
+    got = sorted(tuple(r) for r in nested.issue_links(df).collect())
+    assert got == [(1, 1, "i", "o/r#7", "a"), (1, 3, "i", "o/r#7", "a"), (2, 1, None, None, "b")]
+
+
+def test_judgments_count_as_references_and_batches_are_folded(spark, tmp_path):
+    c = incremental.OrphanCounts(spark, f"{tmp_path}/c", fold=3)
+    q = spark.createDataFrame([("1", ["#5", "x", None, "6"])], "query_id string, candidate_ids array<string>")
+    d = spark.createDataFrame([("5", [" 6 "], None)], "id string, explicit_related_ids array<string>, removed_at timestamp")
+    for n, x in enumerate([incremental.judgment_deltas(q), incremental.reference_deltas(d), incremental.judgment_deltas(q), incremental.judgment_deltas(q)]):
+        c.add(x, n)
+        c.add(x, n)
+    assert sorted((r.key, r.refs) for r in incremental.orphans(c.counts()).collect()) == [("6", 4)]
+    assert sorted(p.name for p in (tmp_path / "c").iterdir() if not p.name.startswith(".")) == ["all2", "v3"]
