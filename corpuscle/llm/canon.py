@@ -2,12 +2,16 @@
 
 Entries are folded (compatibility forms, case, accents, punctuation, blanks) and indexed under the spellings people
 make of them: word order changed, vowels left out of some words, a word broken off. A BK-tree over these keys under
-Levenshtein distance (a true metric) returns, by the triangle inequality, every key within the threshold of a folded
-value; the value takes the entry of least cost (edits plus the penalty of the key's spelling), ties going to the entry
-with the larger line number. What is within no threshold is ``unmatched``.
+Levenshtein distance (a true metric) returns, by the triangle inequality, every key within a radius of a folded value: first
+radius 0, and if that gives no entry, the threshold. Typing errors are edits or two neighbouring characters changed over, which
+are two edits in the metric. A search one edit beyond the threshold therefore finds all keys with at most one such change; keys with
+more of them have nearly the same letters, and are found by a second tree over the sorted letters. Each key found is checked by
+its exact number of errors. The value takes the entry of least cost (errors plus the penalty of the key's spelling), ties going to
+the entry that is written like the value, then to that with the larger line number. What is within no threshold is ``unmatched``.
 
-Distinct values are mapped, not rows, so a frequent value costs one search. A list of up to ``SHARD`` keys is sent to
-every worker; a longer one is cut into shards, each value is searched in each shard, and the shards' winners are merged.
+Distinct values are mapped, not rows, so a frequent value costs one search, and a worker keeps its trees and answers. A list with
+up to ``SHARD`` keys is sent to every worker; a longer one is cut into shards of so many keys, each is sent by itself and searched
+for all values, and the shards' winners are merged.
 
 Defined results: null and blank values give no row; blanks around values and paths do not count; of repeated raw labels
 in the list the last line holds; entries whose folded form is empty match only themselves; an empty list matches
@@ -16,6 +20,7 @@ nothing.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -28,8 +33,8 @@ from pyspark.sql import functions as F
 from corpuscle.session import spread
 
 UNMATCHED = "unmatched"
-#: Most keys of one BK-tree; a longer list is searched in shards.
-SHARD = 200_000
+#: Most keys of the trees in a worker; a longer list is searched in shards.
+SHARD = 100_000
 #: Penalties of a spelling, as parts of an edit.
 ORDER, VOWELS, BROKEN, PREFIX, DIGITS = 0.3, 0.45, 0.45, 0.4, 0.1
 #: Words people put before a label, with or without a separator (fixed values).
@@ -171,7 +176,18 @@ def spellings(entry: str) -> dict[str, tuple[float, str]]:
 class Mapper:
     """The entries of a list, or of a shard of it."""
 
+    _made: dict[bytes, Mapper] = {}
+
+    @classmethod
+    def of(cls, entries: list[tuple[int, str, str]]) -> Mapper:
+        """The worker's mapper of these entries; the last one made is kept, as many tasks ask for it."""
+        key = hashlib.md5(repr(entries).encode("utf-8", "surrogatepass")).digest()
+        if key not in cls._made:
+            cls._made = {key: cls(entries)}
+        return cls._made[key]
+
     def __init__(self, entries: list[tuple[int, str, str]]):
+        self.answers: dict[tuple[str, bool], list] = {}
         self.exact: dict[str, tuple[int, str]] = {}
         self.keys: dict[str, list[tuple[float, int, str, str]]] = {}
         for line, raw, path in entries:
@@ -184,6 +200,10 @@ class Mapper:
         plain = [k for k, v in self.keys.items() if any(kind != "broken" for *_, kind in v)]
         self.longest = max(map(len, self.keys), default=0)
         self.tree, self.broken = BKTree(plain), BKTree([k for k, v in self.keys.items() if any(x[3] == "broken" for x in v)])
+        self.sorted: dict[str, list[str]] = {}
+        for k in plain:
+            self.sorted.setdefault("".join(sorted(k)), []).append(k)
+        self.letters = BKTree(self.sorted)
 
     def views(self, raw: str) -> list[tuple[str, float, bool]]:
         """(folded key, penalty, whether a word is marked as broken off) of a typed value."""
@@ -211,41 +231,47 @@ class Mapper:
                     out.setdefault(key, p)
         return [(key, p, marked) for key, p in out.items()]
 
-    @staticmethod
-    def check(key: str, near: str, d: int, penalty: float, kinds: tuple[str, ...], offer) -> None:
-        d = d if d < 2 else typing_distance(key, near)
-        if d <= threshold(min(len(key), len(near))):
-            offer(near, d, penalty, kinds)
+    def near(self, key: str, marked: bool) -> list[tuple[int, str, tuple[str, ...]]]:
+        """(errors, key of an entry, the kinds of spelling that count) of all keys within the threshold."""
+        if (known := self.answers.get((key, marked))) is not None:
+            return known
+        whole = ("whole", "bare")
+        kinds = (*whole, "broken") if marked or len(key) >= 8 else whole
+        same = [0 for _ in self.tree.within(key, 0)] + [0 for _ in self.broken.within(key, 0) if "broken" in kinds]
+        found = [(0, key, kinds)] if same else []
+        k = threshold(len(key))
+        if k and len(key) <= self.longest + k and not any(x[3] in kinds for _ in found for x in self.keys[key]):
+            met = {n: (d, whole) for d, n in self.tree.within(key, k + 1)}
+            if k > 1:
+                # two changes of neighbours are four edits: but at most k - 2 other errors, each of two edits in sorted letters
+                for _, letters in self.letters.within("".join(sorted(key)), 2 * (k - 2)):
+                    met |= {n: (k, whole) for n in self.sorted[letters] if n not in met}
+            if marked:
+                met |= {n: (d, ("broken",) if n not in met else (*whole, "broken")) for d, n in self.broken.within(key, k)}
+            for n, (d, of) in met.items():
+                d = d if d < 2 else typing_distance(key, n)
+                if 0 < d <= threshold(min(len(key), len(n))):
+                    found.append((d, n, of))
+        if len(self.answers) > 200_000:
+            self.answers.clear()
+        self.answers[key, marked] = found
+        return found
 
     def best(self, raw: str) -> tuple[float, int, str] | None:
         """(cost, line, path) of the entry a value means."""
-        raw = raw.strip()
-        if (e := self.exact.get(raw)) is not None:
-            return (0.0, e[0], e[1])
         found: tuple[float, int, str] | None = None
-
-        def offer(key: str, d: int, penalty: float, kinds: tuple[str, ...]) -> None:
-            nonlocal found
-            for extra, line, path, kind in self.keys[key]:
-                if kind not in kinds or (kind != "whole" and d > threshold(len(key)) - 1):
-                    continue
-                option = (d + penalty + extra, line, path)
-                if found is None or (option[0], -option[1]) < (found[0], -found[1]):
-                    found = option
-
         for key, penalty, marked in self.views(raw):
-            if key in self.keys:
-                kinds = ("whole", "bare", "broken") if marked or len(key) >= 8 else ("whole", "bare")
-                offer(key, 0, penalty, kinds)
             if found is not None and found[0] < 1:
-                continue
-            k = threshold(len(key))
-            if k and len(key) <= self.longest + k:
-                for d, near in self.tree.within(key, k + 1):
-                    self.check(key, near, d, penalty, ("whole", "bare"), offer)
-                if marked:
-                    for d, near in self.broken.within(key, k):
-                        self.check(key, near, d, penalty, ("broken",), offer)
+                break
+            for d, near, kinds in self.near(key, marked):
+                for extra, line, path, kind in self.keys[near]:
+                    if kind in kinds and (kind == "whole" or d <= threshold(len(near)) - 1):
+                        option = (d + penalty + extra, line, path)
+                        if found is None or (option[0], -option[1]) < (found[0], -found[1]):
+                            found = option
+        # the entry that is written just so, also if it folds to nothing
+        if (e := self.exact.get(raw.strip())) is not None:
+            return (0.0, e[0], e[1])
         return found
 
 
@@ -255,6 +281,20 @@ def _entries(mapping: DataFrame, raw: str, path: str, line: str) -> DataFrame:
     )
 
 
+def shards(entries: DataFrame, most: int) -> list[DataFrame]:
+    """The entries in parts of about ``most`` keys, by a hash; the keys are counted on the cluster."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(spellings(x.as_py().strip())) + 1 for x in b.column(0))], pa.int64())], names=["n"])
+
+    keys = entries.select("raw").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+    n = max(1, -(-keys // most))
+    # equal raw labels are in one part, as the last line of them holds
+    part = F.pmod(F.xxhash64(F.trim("raw")), F.lit(n))
+    return [entries] if n == 1 else [entries.where(part == i) for i in range(n)]
+
+
 def map_values(
     typed: DataFrame, mapping: DataFrame, value_col: str = "raw_label", raw_col: str = "raw_label",
     path_col: str = "normalized_path", line_col: str = "line_no", shard: int = SHARD,
@@ -262,45 +302,27 @@ def map_values(
     """(value, normalized_path, cost): one row for each distinct non-blank value; unmatched values have a null cost."""
     entries = _entries(mapping, raw_col, path_col, line_col)
     values = typed.select(F.col(value_col).alias("value")).where("value is not null").distinct()
-    values = values.repartition(4 * spread(typed))  # few small rows, much work for each
-    schema = "value string, cost double, line long, path string"
-
-    def search(mapper: Mapper, batch: pa.RecordBatch) -> pa.RecordBatch:
-        vals, costs, lines, paths = [], [], [], []
-        for v in batch.column(batch.schema.get_field_index("value")):
-            v = v.as_py()
-            if v.strip():
-                b = mapper.best(v)
-                vals.append(v)
-                costs.append(b[0] if b else None)
-                lines.append(b[1] if b else None)
-                paths.append(b[2] if b else None)
-        cols = [pa.array(vals, pa.string()), pa.array(costs, pa.float64()), pa.array(lines, pa.int64()), pa.array(paths, pa.string())]
-        return pa.RecordBatch.from_arrays(cols, names=["value", "cost", "line", "path"])
-
-    rows = entries.limit(shard + 1).collect()
-    if len(rows) <= shard:
-        known = [tuple(r) for r in rows]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            mapper = Mapper(known)
+    # few small rows, much work for each; values that fold alike go to one worker, which searches once
+    like = F.regexp_replace(F.lower("value"), r"[^\p{L}\p{N}]+", "")
+    values = values.repartition(4 * spread(typed), like)
+    schema, spark, found = "value string, cost double, line long, path string", typed.sparkSession, None
+    parts = shards(entries, shard)
+    for part in parts:
+        sent = spark.sparkContext.broadcast([tuple(r) for r in part.orderBy("line", "raw", "path").collect()])
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            mapper = Mapper.of(sent.value)
             for b in batches:
-                yield search(mapper, b)
-
-        found = values.mapInArrow(run, schema)
-    else:
-        n = -(-entries.count() // shard)
-        part = entries.withColumn("shard", F.pmod(F.xxhash64("raw"), F.lit(n)).cast("int"))
-        asked = values.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-
-        def one(entries_: pa.Table, values_: pa.Table) -> pa.Table:
-            mapper = Mapper([(r["line"], r["raw"], r["path"]) for r in entries_.to_pylist()])
-            out = [search(mapper, b) for b in values_.to_batches()]
-            return pa.Table.from_batches(out, pa.schema([("value", pa.string()), ("cost", pa.float64()), ("line", pa.int64()), ("path", pa.string())]))
-
-        winners = part.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(one, schema)
+                vals = [v for x in b.column(0) if (v := x.as_py()).strip()]
+                best = [mapper.best(v) or (None, None, None) for v in vals]
+                cols = [pa.array([x[k] for x in best], t) for k, t in enumerate((pa.float64(), pa.int64(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([pa.array(vals, pa.string()), *cols], names=["value", "cost", "line", "path"])
+
+        one = values.mapInArrow(run, schema)
+        found = one if found is None else found.union(one)
+    if len(parts) > 1:
         best = F.min(F.when(F.col("cost").isNotNull(), F.struct("cost", (-F.col("line")).alias("l"), "path"))).alias("b")
-        found = winners.groupBy("value").agg(best).select("value", "b.cost", (-F.col("b.l")).alias("line"), "b.path")
+        found = found.groupBy("value").agg(best).select("value", "b.cost", (-F.col("b.l")).alias("line"), "b.path")
     return found.select("value", F.coalesce("path", F.lit(UNMATCHED)).alias("normalized_path"), "cost")
 
 

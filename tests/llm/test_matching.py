@@ -63,6 +63,23 @@ def test_mapping_of_typed_values(spark):
     assert canon.map_rows(t.where("false"), m).count() == 0
 
 
+def test_every_key_within_the_threshold_is_found():
+    rng = random.Random(4)
+    names_ = ["".join(rng.choice("abcde") for _ in range(rng.randrange(4, 13))) for _ in range(150)]
+    m = canon.Mapper([(i, n, n) for i, n in enumerate(names_)])
+    keys = [k for k, v in m.keys.items() if any(x[3] != "broken" for x in v)]
+    for n in names_:
+        x = list(n)
+        for _ in range(3):
+            i = rng.randrange(len(x) - 1)
+            x[i], x[i + 1] = x[i + 1], x[i]
+        typed = "".join(x)
+        got = {(d, k) for d, k, _ in m.near(typed, False)}
+        if (0, typed) not in got:
+            assert got == {(d, k) for k in keys if 0 < (d := canon.typing_distance(typed, k)) <= canon.threshold(min(len(k), len(typed)))}
+    assert canon.Mapper([(1, "network", "n")]).best("entowrk")[2] == "n"
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
@@ -115,26 +132,41 @@ def test_crowded_buckets_lose_no_pair(spark, monkeypatch):
     assert got == {(a, b) for a in range(25) for b in range(a + 1, 25) if len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
 
 
-@pytest.mark.parametrize("band", [1, 4, 60])
-def test_crowded_keys_are_split_by_other_bands(spark, monkeypatch, band):
-    monkeypatch.setattr(neardup, "CROWD", 4)
+def crowd(rng, n, core, own):
+    """Texts that share a run of words and have others of their own."""
+    shared = [f"c{i}" for i in range(core)]
+    return [" ".join(shared + [f"w{rng.randrange(10**9)}" for _ in range(own)]) for _ in range(n)]
+
+
+def test_boilerplate_brings_no_texts_together(spark):
     rng = random.Random(6)
-    rows = [(i, None, " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))) for i in range(20)]
+    rows = [(i, None, x) for i, x in enumerate(crowd(rng, 400, 93, 58))]  # similarity 0.45
+    rows += [(1000 + i, None, " ".join(edited(rng, rows[i][2].split(), 8))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, title string, main_text string")
+    met = neardup.prefix_pairs(df, 0.6)
+    sets = {i: shingle_set(None, x) for i, _, x in rows}
+    ids = sorted(sets)
+    expected = {(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
+    found = [(r.a, r.b) for r in met.collect()]
+    assert expected <= set(found) and len(expected) >= 50
+    assert len(set(found)) < 400  # of 105,570 pairs
+
+
+def test_prefixes_lose_no_pair_of_any_sizes(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(120):
+        base = crowd(random.Random(i // 12), 1, 20, 60)[0].split()
+        rows.append((i, "", " ".join(edited(rng, base[: rng.randrange(45, 80)], rng.randrange(8)))))
     df = spark.createDataFrame(rows, "doc_id long, title string, main_text string")
-    sigs = {r.doc_id: r.bands for r in neardup.signatures(df, places=True).collect()}
-    shared = neardup.PLACES // neardup.REFINE * (band // 4) == band * neardup.ROWS
-    same = {i: [(t, 7 if shared and t == band // 4 else v) for t, v in enumerate(x)] for i, x in sigs.items()}
-    real = neardup.signatures
-
-    def agreeing(docs, *args, **kw):
-        out = real(docs, *args, **kw)
-        if not kw.get("places"):
-            return out
-        return spark.createDataFrame([(i, 0, 0, [v for _, v in x]) for i, x in same.items()], out.schema)
-
-    monkeypatch.setattr(neardup, "signatures", agreeing)
-    reps = spark.createDataFrame([(i, [1000 * i + b if b != band else -1 for b in range(neardup.BANDS)]) for i in sigs], "rep long, bands array<long>")
-    assert neardup.candidates(reps, df).count() == 0
+    sets = {i: shingle_set(None, x) for i, _, x in rows}
+    expected = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
+    assert len(expected) > 100
+    for most in (0, 7, neardup.FREQUENT):
+        frequent = neardup.frequent_shingles(df, most=most) if most else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        p = neardup.prefixes(df, 0.6, frequent)
+        assert p.where("indexed and at > size").count() == 0
+    assert expected <= {(r.a, r.b) for r in neardup.prefix_pairs(df, 0.6).collect()}
 
 
 def test_groups_have_every_document(spark, tmp_path):
