@@ -10,8 +10,13 @@ Plan: one Python pass makes (doc_id, 128-bit set key, band keys), which is check
 class, of which one row represents the others. Band keys of the representatives are counted; keys of two or three rows
 give their pairs by arithmetic, only the rare keys of more rows are joined with themselves. The sets of the candidates,
 and of no other rows, are then made again from their texts and compared exactly. Links hold between
-representatives; members are attached by an equi-join. A crowded band key (more than ``CROWD`` representatives) is
-refined by further places of the signature before its rows are paired.
+representatives; members are attached by an equi-join.
+
+The texts of crowded band keys (more than ``CROWD`` representatives) are not paired by the key, as what they share may be
+boilerplate. They meet by an exact prefix filter instead (Chaudhuri et al. 2006, Xiao et al. 2008): with all shingles in one
+order, the rarest among these texts first, two sets of the wanted similarity share one of the first few shingles of each, and
+the places of the first shared one bound their intersection. Boilerplate comes last in the order, so it brings no texts together
+that differ too much elsewhere, and no pair is lost.
 
 With 64 bands of 4 places a pair of similarity 0.6 is missed with probability 0.00014, one of 0.65 with 0.000003.
 
@@ -33,9 +38,12 @@ from pyspark.sql import functions as F
 from corpuscle.operators.components import components
 from corpuscle.session import cut
 
-SHINGLE, MIN_WORDS, BANDS, ROWS, CROWD, REFINE = 3, 40, 64, 4, 50, 16
+SHINGLE, MIN_WORDS, BANDS, ROWS, CROWD = 3, 40, 64, 4, 50
 #: Keys that are broadcast at most (8 bytes each); beyond that their rows are found by a shuffled join.
 BROADCAST_KEYS = 200_000
+#: The most frequent shingles of crowded texts that are put last by their frequency (16 bytes each); all others, at least as
+#: rare, keep the order of their hashes. Any number gives the same pairs.
+FREQUENT = 500_000
 PLACES = BANDS * ROWS
 #: Texts of a Python batch are taken together until they have this many shingles.
 BATCH = 120_000
@@ -153,12 +161,9 @@ def _texts(docs: DataFrame, title_col: str, text_col: str, key: str) -> DataFram
 
 def signatures(
     docs: DataFrame, title_col: str = "title", text_col: str = "main_text", key: str = "doc_id",
-    min_words: int = MIN_WORDS, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, places: bool = False,
+    min_words: int = MIN_WORDS, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS,
 ) -> DataFrame:
-    """(doc_id, set_a, set_b, bands): set key and band keys; with ``places`` some places of the signature instead.
-
-    No shuffle.
-    """
+    """(doc_id, set_a, set_b, bands): set key and band keys. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
@@ -169,10 +174,7 @@ def signatures(
                 with np.errstate(over="ignore"):
                     a = [int(mix(s ^ U(0x243F6A8885A308D3)).sum().view(np.int64)) for s in sets]
                     c = [int(mix(s ^ U(0x13198A2E03707344)).sum().view(np.int64)) for s in sets]
-                if places:
-                    keys = sig[:, :: max(1, bands * rows // REFINE)][:, :REFINE].copy().view(np.int64)
-                else:
-                    keys = band_keys(sig, bands, rows)
+                keys = band_keys(sig, bands, rows)
                 ends = pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -206,13 +208,73 @@ def _pairs(members: DataFrame, on: list[str]) -> DataFrame:
     return members.join(other, on).where("rep < rep_b").select(F.col("rep").alias("a"), F.col("rep_b").alias("b"))
 
 
-def candidates(reps: DataFrame, texts: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of representatives that share a band key.
+def frequent_shingles(texts: DataFrame, width: int = SHINGLE, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` most frequent shingles of some texts, sorted, and the number of texts that have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
+        for b in batches:
+            for _, sets in _grouped(b, known, 0, width):
+                s, n = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(n)], names=["s", "n"])
+
+    counted = texts.mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where("n > 3")
+    top = counted.orderBy(F.desc("n"), "s").limit(most).toArrow()
+    s = top.column("s").to_numpy().view(np.uint64)
+    order = np.argsort(s)
+    return s[order], top.column("n").to_numpy()[order]
+
+
+def prefixes(texts: DataFrame, threshold: float, frequent: tuple[np.ndarray, np.ndarray], width: int = SHINGLE) -> DataFrame:
+    """(rep, size, at, s, indexed): the first shingles of each text in the order of :func:`frequent_shingles`.
+
+    A set of n shingles that is similar to a set of at most n shares one of its first n - ceil(t n) + 1 with it; the
+    first n - ceil(2 t n / (1 + t)) + 1 (``indexed``) are enough on the side of the smaller set.
+    """
+    t, sent = round(threshold * 10_000), texts.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, (often, n_often) = Words(), sent.value
+        for b in batches:
+            ids = b.column("doc_id").to_numpy()
+            for at, sets in _grouped(b, known, 0, width):
+                rep, size, place, kept, indexed = [], [], [], [], []
+                for i, s in zip(at, sets):
+                    n = len(s)
+                    k = np.minimum(np.searchsorted(often, s), max(0, len(often) - 1))
+                    df = np.where(often[k] == s, n_often[k], 0) if len(often) else np.zeros(n, np.int64)
+                    probe, index = n + (-t * n // 10_000) + 1, n + (-2 * t * n // (10_000 + t)) + 1
+                    kept.append(s[np.argsort(df, kind="stable")[:probe]])
+                    place.append(np.arange(probe))
+                    indexed.append(np.arange(probe) < index)
+                    rep.append(np.full(probe, ids[i]))
+                    size.append(np.full(probe, n))
+                columns = [np.concatenate(x) for x in (rep, size, place, kept, indexed)]
+                columns[3] = columns[3].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["rep", "size", "at", "s", "indexed"])
+
+    return texts.mapInArrow(run, "rep long, size long, at long, s long, indexed boolean")
+
+
+def prefix_pairs(texts: DataFrame, threshold: float, width: int = SHINGLE) -> DataFrame:
+    """(a, b), a < b, with repetitions: at least all pairs of texts (doc_id, title, main_text) that are similar."""
+    t = round(threshold * 10_000)
+    p = prefixes(texts, threshold, frequent_shingles(texts, width), width)
+    x = p.select("s", F.col("rep").alias("x"), F.col("size").alias("m"), F.col("at").alias("i"))
+    y = p.where("indexed").select("s", F.col("rep").alias("y"), F.col("size").alias("n"), F.col("at").alias("j"))
+    fits = (F.col("n") <= F.col("m")) & (F.col("n") * 10_000 >= F.col("m") * t) & (F.col("x") != F.col("y"))
+    most = F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j"))  # of the intersection, if this is the first in common
+    met = x.join(y, "s").where(fits & (most * (10_000 + t) >= t * (F.col("m") + F.col("n"))))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def candidates(reps: DataFrame, texts: DataFrame, threshold: float = 0.6, width: int = SHINGLE) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of representatives that share a band key, or of crowded keys at least the similar ones.
 
     One shuffle of (key, id) counts the keys. From its least and greatest id and the exclusive or of all ids follow the
     pairs of keys of two and three rows; only rows of more crowded keys are looked up again.
     """
-    keyed = reps.select("rep", F.posexplode("bands").alias("band", "k"))
+    keyed = reps.select("rep", F.explode("bands").alias("k"))
     counted = keyed.groupBy("k").agg(
         F.count("*").alias("n"), F.min("rep").alias("a"), F.max("rep").alias("b"), F.bit_xor("rep").alias("x")
     )
@@ -231,14 +293,8 @@ def candidates(reps: DataFrame, texts: DataFrame, width: int = SHINGLE) -> DataF
     if sizes[0] > sizes[1]:
         out = out.union(_pairs(rows_of(shared.where(F.col("n").between(4, CROWD)), sizes[0] - sizes[1]), ["k"]))
     if sizes[1]:
-        crowded = cut(rows_of(shared.where(F.col("n") > CROWD), sizes[1]))
-        again = texts.join(crowded.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        more = signatures(again, width=width, places=True).select(
-            F.col("doc_id").alias("rep"), F.posexplode("bands").alias("t", "v")
-        )
-        # all rows of a key agree at the places of its own band, which therefore split nothing
-        own = F.floor(F.col("t") * (PLACES // REFINE) / ROWS) == F.col("band")
-        out = out.union(_pairs(crowded.join(more, "rep").where(~own), ["k", "t", "v"]))
+        crowded = cut(rows_of(shared.where(F.col("n") > CROWD), sizes[1]).select(F.col("rep").alias("doc_id")).distinct())
+        out = out.union(prefix_pairs(texts.join(crowded, "doc_id", "left_semi"), threshold, width))
     return out.distinct()
 
 
@@ -299,7 +355,7 @@ class NearDuplicates:
         #: (doc_id, rep): rep is the least id with the same set.
         self.classes = sigs.select("doc_id", "set_a", "set_b").join(first, ["set_a", "set_b"]).select("doc_id", "rep", "copies")
         reps = sigs.join(first.select("rep"), sigs.doc_id == first.rep, "left_semi").withColumnRenamed("doc_id", "rep")
-        found = cut(candidates(reps, texts, width))
+        found = cut(candidates(reps, texts, threshold, width))
         wanted = found.select(F.col("a").alias("doc_id")).union(found.select("b")).distinct()
         sets = shingle_sets(texts.join(wanted, "doc_id", "left_semi"), width)
         a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
