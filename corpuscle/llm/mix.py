@@ -2,7 +2,9 @@
 
 Tokens are summed per source; a source's repetition rate is its share of the mix divided by its tokens; every document
 is emitted floor(rate) times and once more if a number drawn from a hash of its key and the seed is below the rate's
-fraction. So a mix is the same on every run and every partitioning.
+fraction. So a mix is the same on every run and every partitioning. A source of few documents may by chance draw far more or
+less than its share; so ``DRAWS`` seeds are tried for each source, all in one aggregation, and the one holds whose draw comes
+nearest to the source's wanted tokens (ties: the smaller seed).
 
 Without a given size the mix is as large as the caps allow: the least of ``max_repeats * tokens / share`` over the
 wanted sources that have tokens, their shares scaled to sum 1. With a given size, sources that would need more than
@@ -20,6 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.llm.encode import encode_corpus
+from corpuscle.session import cut
+
+#: Seeds that are tried for each source.
+DRAWS = 64
 
 
 def sizes(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -40,7 +46,7 @@ def _targets(targets: DataFrame) -> DataFrame:
 
 
 def rates(sized: DataFrame, targets: DataFrame, total_tokens: float | None = None) -> DataFrame:
-    """(source, target_share, max_repeats, tokens, rate): one row a wanted source, as many as ``targets`` has."""
+    """(source, target_share, max_repeats, tokens, rate): one row a wanted source, at most as many as ``targets`` has rows."""
     have = sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
     t = _targets(targets).join(have, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
     present = F.when(F.col("tokens") > 0, F.col("target_share"))
@@ -57,20 +63,33 @@ def rates(sized: DataFrame, targets: DataFrame, total_tokens: float | None = Non
     return t.crossJoin(total).select("source", "target_share", "max_repeats", "tokens", rate.alias("rate"))
 
 
-def copies(key: Column, rate: Column, seed: int) -> Column:
+def copies(key: Column, rate: Column, seed: Column) -> Column:
     """floor(rate), plus one with probability equal to the fraction, drawn from a hash of the key and the seed."""
-    drawn = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    drawn = F.pmod(F.xxhash64(key, seed), F.lit(1 << 40)) / F.lit(float(1 << 40))
     return (F.floor(rate) + (drawn < rate - F.floor(rate)).cast("long")).cast("long")
 
 
+def seeds(sized: DataFrame, wanted: DataFrame, seed: int = 42, draws: int = DRAWS) -> DataFrame:
+    """``wanted`` (rates) with the seed of each source whose draw comes nearest to rate * tokens."""
+    some = sized.where(F.col("n_tokens") > 0).join(F.broadcast(wanted.select("source", "rate")), "source")
+    tokens = [F.sum(copies(F.col("id"), F.col("rate"), F.lit(seed + i)) * F.col("n_tokens")) for i in range(draws)]
+    tried = some.groupBy("source").agg(F.array(*tokens).alias("t"))
+    off = F.transform("t", lambda x, i: F.struct(F.abs(x - F.col("rate") * F.col("tokens")).alias("off"), (i + seed).alias("seed")))
+    return wanted.join(tried, "source", "left").withColumn("seed", F.coalesce(F.array_min(off).seed, F.lit(seed))).drop("t")
+
+
+def _planned(docs: DataFrame, targets: DataFrame, total_tokens: float | None, seed: int, vocabulary: str | None) -> tuple[DataFrame, DataFrame]:
+    sized = cut(sizes(docs, vocabulary))  # encoding is the cost of it all
+    return sized, cut(seeds(sized, rates(sized, targets, total_tokens), seed))
+
+
 def mix(
     docs: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 42, vocabulary: str | None = None
 ) -> DataFrame:
     """(doc_id, source, copy_no, n_tokens): one row for each use of a document in the mix."""
-    sized = sizes(docs, vocabulary)
-    drawn = sized.join(rates(sized, targets, total_tokens).select("source", "rate"), "source")
-    n = copies(F.col("id"), F.col("rate"), seed)
-    uses = drawn.where(F.col("n_tokens") > 0).withColumn("n", n).where(F.col("n") > 0)
+    sized, plan = _planned(docs, targets, total_tokens, seed, vocabulary)
+    drawn = sized.join(F.broadcast(plan.select("source", "rate", "seed")), "source")
+    uses = drawn.where(F.col("n_tokens") > 0).withColumn("n", copies(F.col("id"), F.col("rate"), F.col("seed"))).where(F.col("n") > 0)
     return uses.select("doc_id", "source", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy_no"), "n_tokens")
 
 
@@ -78,13 +97,12 @@ def report(
     docs: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 42, vocabulary: str | None = None
 ) -> DataFrame:
     """(source, target_share, tokens, rate, mixed_docs, mixed_tokens, share_reached), one row a wanted source."""
-    sized = sizes(docs, vocabulary)
-    r = rates(sized, targets, total_tokens)
-    n = copies(F.col("id"), F.col("rate"), seed)
-    got = sized.join(r.select("source", "rate"), "source").groupBy("source").agg(
-        F.sum(F.when(F.col("n_tokens") > 0, n)).alias("mixed_docs"), F.sum(n * F.col("n_tokens")).alias("mixed_tokens")
+    sized, plan = _planned(docs, targets, total_tokens, seed, vocabulary)
+    n = copies(F.col("id"), F.col("rate"), F.col("seed"))
+    got = sized.where(F.col("n_tokens") > 0).join(F.broadcast(plan.select("source", "rate", "seed")), "source").groupBy("source").agg(
+        F.sum(n).alias("mixed_docs"), F.sum(n * F.col("n_tokens")).alias("mixed_tokens")
     )
-    out = r.join(got, "source", "left").fillna(0, ["mixed_docs", "mixed_tokens"])
+    out = plan.join(got, "source", "left").fillna(0, ["mixed_docs", "mixed_tokens"])
     total = out.agg(F.sum("mixed_tokens").alias("all_tokens"))
     return out.crossJoin(total).select(
         "source", "target_share", "tokens", "rate", "mixed_docs", "mixed_tokens",

@@ -83,6 +83,16 @@ def test_pieces_of_tables(spark):
         chunks.split_texts(df, limit=100, overlap=100)
 
 
+def test_mix_of_few_documents_reaches_its_shares(spark):
+    rng = random.Random(2)
+    rows = [(i, str(i), s, None, " ".join(["word"] * rng.randrange(20, 200))) for i, s in enumerate("a" * 30 + "b" * 40 + "c" * 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, id string, source string, ingested_at timestamp, text string")
+    targets = spark.createDataFrame([("a", 0.3, 1), ("b", 0.3, 2), ("c", 0.4, 1)], "source string, target_share double, max_repeats int")
+    for total in (8000.0, None):
+        for r in mix.report(docs, targets, total).collect():
+            assert abs(r.share_reached - r.target_share) < 0.01
+
+
 def test_mix_reaches_its_shares(spark):
     rows = [(i, str(i), "big", f"some words number {i}", None) for i in range(3000)] + [(9000 + i, str(9000 + i), "small", f"a few words {i}", None) for i in range(300)]
     rows += [(9999, "9001", "small", "exported twice", None), (9998, "x", None, "no source", None), (9997, "y", "big", None, None), (9996, "z", "other", "not wanted", None)]
