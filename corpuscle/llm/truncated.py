@@ -2,7 +2,8 @@
 
 A backward character n-gram model: for the last n characters before a place of a text, read backward, it knows how often
 texts and lines stop there without a closing mark and how often they go on, per language and column. For the end of a
-text the longest known context gives the log-odds of stopping; an end at which texts practically always go on was cut.
+text the longest known context gives the log-odds of stopping, which is compared with the log-odds of any place of the same
+language and column; an end at which texts go on nearly as at any other place, and do not stop by far more often, was cut.
 
 Training is two passes over every distinct text; texts that are equal count once, in stops and in goings-on. The first counts the contexts of all open stops (ends of texts and lines without
 a closing mark) and keeps all of at most ``SHORT`` characters, whose number the alphabet bounds, and the longer ones of at
@@ -32,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,17 +45,18 @@ ORDERS, LEAST, ONE_IN = (2, 3, 4, 5, 6, 8, 10, 13), 3, 300_000
 WIDE, FAR, MANY = 40, 200, 16
 #: Contexts of at most SHORT characters are kept whatever their stops; they are believed from so many places on.
 SHORT, SUPPORT = 3, 20
-#: A text is cut if its log-odds of stopping are below these: as a rule; at a field limit or in an open code block; in a
-#: sentence that begins as open ones do; after something that is put after cuts.
-ODDS, ODDS_SIGNS, ODDS_OPEN, ODDS_MARKED = -3.4, -0.7, -6.0, -1.5
+#: A text is cut if its log-odds of stopping are below those of any place of its language and column plus these: as a rule; at
+#: a field limit or in an open code block; in a sentence that begins as open ones do; after something that may be, or always is, put
+#: after cuts.
+ODDS, ODDS_SIGNS, ODDS_OPEN, ODDS_MARKED, ODDS_SURE = 2.65, 5.35, 0.05, 4.55, 7.0
 #: From this part of sentences without closing mark on, a first word makes open sentences.
 OPEN = 0.4
 #: Marks and encoded data are looked for in so many last characters; the lines before the last one are passed on as far as they
 #: touch as many. White space as Python has it.
 END = 1000
 BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
-#: Parts of the count vector that are summed separately.
-PARTS = 16
+#: Parts of the count vector that are summed separately, and tasks whose vectors are summed at once.
+PARTS, GROUP = 16, 256
 #: What is put after a cut (fixed values): the first kind always, the second only if such sentences do not end so as a rule.
 SURE = r"\s*(?:\[(?:more|cut|truncated|read more|\.\.\.|…)\]|\((?:more|cut|truncated|\.\.\.|…)\))|\s*…|�+"
 MAYBE = r"\s*\.\.\.+|[-‐–—]+"
@@ -86,6 +89,12 @@ def _seed(lang: str, column: str) -> int:
     return zlib.crc32(f"{column}|{lang}".encode()) << 16
 
 
+def _any_key(seed: np.ndarray) -> np.ndarray:
+    """The key of a language and column: the context of no characters, which every place has."""
+    with np.errstate(over="ignore"):
+        return _marked((seed + U(1)) * U(0x9E3779B97F4A7C15), 1)
+
+
 def _word_key(word: str, lang: str, column: str) -> int:
     """The key of a first word; case counts here."""
     w = word[:24]
@@ -113,18 +122,21 @@ def context_keys(codes: np.ndarray, seeds: np.ndarray, at: np.ndarray, wide: boo
                 yield _marked(h, k + 1)
 
 
-def every_context_key(codes: np.ndarray, seeds: np.ndarray, wanted: np.ndarray) -> Iterator[np.ndarray]:
-    """For each order, the keys of the contexts that end at the wanted places; all places are hashed in one sweep."""
-    n = len(codes)
-    h = seeds[WIDE:].copy()
-    keep = wanted[WIDE:]
+def count_contexts(codes: np.ndarray, seeds: np.ndarray, wanted: np.ndarray, add) -> None:
+    """Give ``add`` the keys of the contexts that end at the wanted places, order by order; it tells which of them are kept.
+
+    A longer context is kept only if the shorter ones in it are, so only places with a kept context go on to the next order.
+    """
+    at = np.flatnonzero(wanted)
+    h = seeds[at]
     with np.errstate(over="ignore"):
         for k in range(ORDERS[-1]):
-            h ^= codes[WIDE - k : n - k]
+            h ^= codes[at - k]
             h *= U(0x9E3779B97F4A7C15)
             h ^= h >> U(29)
             if k + 1 in ORDERS:
-                yield _marked(h[keep], k + 1)
+                kept = add(_marked(h, k + 1))
+                at, h = at[kept], h[kept]
 
 
 class Block:
@@ -199,7 +211,7 @@ def train(rows: DataFrame) -> bytes:
 
     def stops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _blocks(batches):
-            found = list(context_keys(x.codes, x.seeds, x.open_stops, wide=True))
+            found = [_any_key(x.seeds[x.open_stops]), *context_keys(x.codes, x.seeds, x.open_stops, wide=True)]
             far, bits = x.evidence()
             order = np.lexsort((far, found[-1]))
             wide, far = found[-1][order], far[order]
@@ -230,7 +242,7 @@ def train(rows: DataFrame) -> bytes:
     short = F.col("k").bitwiseAND(3) == 2
     # a bound: each order has every stop once, so at most ONE_IN contexts of an order reach the share; the total is taken over
     # the short orders, without a filter, as then the counts are made once for both sides of the join
-    totals = counted.groupBy("s").agg((F.sum(F.when(short, F.col("n")).otherwise(0)) / sum(n <= SHORT for n in ORDERS)).alias("total"))
+    totals = counted.groupBy("s").agg((F.sum(F.when(short, F.col("n")).otherwise(0)) / (1 + sum(n <= SHORT for n in ORDERS))).alias("total"))
     kept = counted.where((F.col("n") >= LEAST) | short).join(F.broadcast(totals), "s")
     table = kept.where(short | (F.col("n") * ONE_IN >= F.col("total"))).select("k", "n").toArrow()
     keys = table.column("k").to_numpy()
@@ -247,23 +259,31 @@ def train(rows: DataFrame) -> bytes:
         maybe[(own >> 5) & (len(maybe) - 1)] = True
         counts = np.zeros(len(own), np.int64)
 
-        def add(found: np.ndarray) -> None:
-            found = found[maybe[(found >> 5) & (len(maybe) - 1)]]
-            i = np.minimum(np.searchsorted(own, found), len(own) - 1)
-            np.add.at(counts, i[own[i] == found], 1)
+        def add(found: np.ndarray) -> np.ndarray:
+            """Count the keys that are kept, and tell which those are."""
+            kept = np.flatnonzero(maybe[(found >> 5) & (len(maybe) - 1)])
+            i = np.minimum(np.searchsorted(own, found[kept]), len(own) - 1)
+            same = own[i] == found[kept]
+            np.add.at(counts, i[same], 1)
+            return kept[same]
 
         for x in _blocks(batches):
-            for found in every_context_key(x.codes, x.seeds, x.goes_on):
-                add(found)
+            count_contexts(x.codes, x.seeds, x.goes_on, add)
+            add(_any_key(x.seeds[x.goes_on]))
             add(x.starts())
         blobs = [zlib.compress(p.tobytes(), 1) for p in np.array_split(counts, PARTS)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(blobs, pa.binary())], names=["part", "c"])
+        group = TaskContext.get().partitionId() // GROUP
+        columns = [pa.array(range(PARTS), pa.int32()), pa.array([group] * PARTS, pa.int32()), pa.array(blobs, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["part", "grp", "c"])
 
     def summed(group: pa.Table) -> pa.Table:
         out = sum(np.frombuffer(zlib.decompress(c.as_py()), np.int64) for c in group.column("c"))
-        return pa.table({"part": group.column("part")[:1], "c": pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())})
+        return pa.table({"part": group.column("part")[:1], "grp": group.column("grp")[:1], "c": pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())})
 
-    parts = rows.mapInArrow(goings, "part int, c binary").groupBy("part").applyInArrow(summed, "part int, c binary").collect()
+    # a tree of sums, so that no group has more than GROUP vectors, or at the end one for every GROUP tasks
+    kind = "part int, grp int, c binary"
+    groups = rows.mapInArrow(goings, kind).groupBy("part", "grp").applyInArrow(summed, kind)
+    parts = groups.groupBy("part").applyInArrow(summed, kind).collect()
     on = np.concatenate([np.frombuffer(zlib.decompress(bytes(r["c"])), np.int64) for r in sorted(parts, key=lambda r: r["part"])])
     return zlib.compress(np.stack([keys, n_stops, on]).tobytes(), 1)
 
@@ -274,6 +294,16 @@ class Model:
     def __init__(self, packed: bytes):
         self.keys, self.stop, self.on = np.frombuffer(zlib.decompress(packed), np.int64).reshape(3, -1) if packed else np.zeros((3, 0), np.int64)
 
+        self.bases: dict[int, float] = {}
+
+    def base(self, lang: str, column: str) -> float:
+        """Log-odds of stopping at any place of a language and column."""
+        seed = _seed(lang, column)
+        if seed not in self.bases:
+            i = self._at(int(_any_key(np.array([seed], np.uint64))[0]))
+            self.bases[seed] = 0.0 if i is None else float(np.log((int(self.stop[i]) + 0.1) / (int(self.on[i]) + 1.0)))
+        return self.bases[seed]
+
     def _at(self, key: int) -> int | None:
         i = int(np.searchsorted(self.keys, key))
         return i if i < len(self.keys) and self.keys[i] == key else None
@@ -308,23 +338,23 @@ class Model:
         if text is None or not (whole := text.rstrip()):
             return False
         text = whole[-END:]
-        sure, maybe = _SURE.search(text), _MAYBE.search(text)
+        sure, maybe, base = _SURE.search(text), _MAYBE.search(text), self.base(lang, column)
         if not sure and not maybe and CLOSED.search(text) and not re.search(r"\d\.$", text):
             return False
         if sure or maybe:
             if not sure and self.opens(whole, lang, column) >= OPEN:
                 return False  # such sentences as a rule end so
-            base = whole[: len(whole) - len(text) + (sure or maybe).start()].rstrip()
-            if not base or CLOSED.search(base[-END:]):
+            bare = whole[: len(whole) - len(text) + (sure or maybe).start()].rstrip()
+            if not bare or CLOSED.search(bare[-END:]):
                 return False
-            inner = self.odds(base, lang, column, 0)
-            return bool(sure) or inner is None or inner < ODDS_MARKED
+            inner = self.odds(bare, lang, column, 0)
+            return inner is None or inner < base + (ODDS_SURE if sure else ODDS_MARKED)
         own = self.odds(whole, lang, column, 1)
         if own is None or _NO_WORD.search(text):
             return signs
         if signs:
-            return own < ODDS_SIGNS
-        return own < (ODDS_OPEN if self.opens(whole, lang, column) >= OPEN else ODDS)
+            return own < base + ODDS_SIGNS
+        return own < base + (ODDS_OPEN if self.opens(whole, lang, column) >= OPEN else ODDS)
 
 
 def tail(text: Column) -> Column:
