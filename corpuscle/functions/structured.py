@@ -115,6 +115,23 @@ def useless_metadata(categorical: Column, hierarchical: Column) -> Column:
     return F.coalesce(only & ok & (F.size(flattened(hierarchical)) == 0), F.lit(False))
 
 
+def last_wins(a: Column, b: Column) -> Column:
+    """Two maps as one; where both have a key, the second map's value holds."""
+    return F.map_concat(F.map_filter(a, lambda k, _: ~F.array_contains(F.map_keys(b), k)), b)
+
+
+def json_object(m: Column) -> Column:
+    """A map of raw values as a JSON object: nested values, numbers and literals as they are, other texts quoted."""
+    bare = r"^(?:[\[{].*|-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?|true|false|null)$"
+    one = lambda e: F.concat(_quoted(e.key), F.lit(":"), F.when(e.value.isNull(), F.lit("null")).when(e.value.rlike("(?s)" + bare), e.value).otherwise(_quoted(e.value)))
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(m), one), ","), F.lit("}"))
+
+
+def _quoted(c: Column) -> Column:
+    """A JSON string."""
+    return F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
+
+
 def repaired(raw: Column) -> Column:
     """Model output made JSON: comments and fences dropped, cut from the first brace to the last."""
     s = F.regexp_replace(raw, r"(?m)//.*?$", "")
@@ -137,11 +154,11 @@ def parse_hierarchy(raw: Column) -> Column:
     first, second = (F.coalesce(F.size(within(s)) == 1, F.lit(False)) for s in (text, fixed))
     fragments = within(fixed)
     several = F.size(fragments) > 1
-    merged = F.to_json(
+    merged = json_object(
         F.aggregate(
             fragments, F.create_map().cast("map<string,string>"),
-            lambda acc, x: F.when(x.startswith("{"), F.map_concat(F.map_filter(acc, lambda k, _: ~F.array_contains(F.map_keys(F.from_json(x, "map<string,string>")), k)), F.from_json(x, "map<string,string>")))
-            .when(x.startswith("["), F.map_concat(F.map_filter(acc, lambda k, _: k != "affiliations"), F.create_map(F.lit("affiliations"), x)))
+            lambda acc, x: F.when(x.startswith("{"), last_wins(acc, F.from_json(x, "map<string,string>")))
+            .when(x.startswith("["), last_wins(acc, F.create_map(F.lit("affiliations"), x)))
             .otherwise(acc),
         )
     )

@@ -31,9 +31,18 @@ def prepared(title: Column, labels: Column | None, main: Column) -> Column:
 
 
 def slug(c: Column, longest: int = 80, kept: int = 70) -> Column:
-    """Lower case, other characters to hyphens; a long slug is cut and gets the start of its MD5."""
-    s = F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    return F.when(F.length(s) > longest, F.concat(F.rtrim(F.substring(s, 1, kept), F.lit("-")), F.lit("-"), F.substring(F.md5(c), 1, 8))).otherwise(s)
+    """Lower case, runs of other characters than letters, digits, ``_.-`` to a hyphen; a long slug is cut and gets the start of its MD5."""
+    s = F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9_.-]+", "-"), "^-+|-+$", "")
+    s = F.coalesce(F.nullif(s, F.lit("")), F.lit("comparison"))
+    return F.when(F.length(s) > longest, F.concat(F.substring(s, 1, kept), F.lit("-"), F.substring(F.md5(c), 1, 10))).otherwise(s)
+
+
+def wrapped(parts: Column, longest: int = 70, between: str = " | ") -> Column:
+    """Parts joined into lines of at most ``longest`` characters where they fit; a longer part has a line of its own."""
+    last = lambda s: F.length(F.substring_index(s, "\n", -1))
+    fits = lambda s, p: last(s) + len(between) + F.length(p) <= longest
+    joined = lambda s, p: F.when(s == "", p).otherwise(F.concat(s, F.when(fits(s, p), F.lit(between)).otherwise(F.lit("\n")), p))
+    return F.aggregate(parts, F.lit(""), joined)
 
 
 def percent_change(value: Column, base: Column) -> Column:
@@ -45,8 +54,12 @@ def has_json_object(c: Column) -> Column:
     return F.coalesce(c.contains("{") & c.contains("}"), F.lit(False))
 
 
+_RESPONSE = "struct<output_text:string,output:array<struct<content:array<struct<type:string,text:string>>>>>"
+
+
 def output_text(response: Column) -> Column:
-    """The text of a model response: ``output_text``, or else the nested parts joined by line breaks."""
-    parts = F.from_json(F.get_json_object(response, "$.output[*].content[*].text"), "array<string>")
-    one = F.get_json_object(response, "$.output[*].content[*].text")
-    return F.coalesce(F.get_json_object(response, "$.output_text"), F.array_join(parts, "\n"), one)
+    """The text of a model response: ``output_text``, or else the nested parts of that type joined by line breaks."""
+    r = F.from_json(response, _RESPONSE)
+    contents = F.flatten(F.transform(F.coalesce(r.output, F.array().cast("array<struct<content:array<struct<type:string,text:string>>>>")), lambda o: F.coalesce(o.content, F.array().cast("array<struct<type:string,text:string>>"))))
+    parts = F.transform(F.filter(contents, lambda c: c.type == "output_text"), lambda c: F.coalesce(c.text, F.lit("")))
+    return F.coalesce(r.output_text, F.array_join(parts, "\n"))

@@ -57,12 +57,13 @@ def flat_issues(raw: DataFrame) -> DataFrame:
 
 
 def flat_pulls(raw: DataFrame, order: str) -> DataFrame:
-    """Pull requests of raw issues, one row for each url; the first by ``order`` and place holds."""
+    """Pull requests of raw issues, one row for each url; the first by ``order`` and place holds. A hot url is pre-aggregated."""
     pulls = raw.select(F.col(order).alias("o"), F.posexplode("timelineItems.nodes").alias("p", "node")).where("node.pull_info.pull_url is not null")
-    first = F.row_number().over(W.partitionBy("node.pull_info.pull_url").orderBy("o", "p"))
-    return pulls.withColumn("r", first).where("r = 1").select(
-        "node.pull_info.pull_no", "node.pull_info.pull_url", "node.pull_info.pull_title", "node.pull_info.pull_body",
-        F.col("node.pull_info.repository.nameWithOwner").alias("repository"), "node.pull_info.createdAt", "node.pull_info.closedAt",
+    info = F.struct("o", "p", "node.pull_info")
+    first = pulls.groupBy(F.col("node.pull_info.pull_url").alias("url")).agg(F.min_by(info, F.struct("o", "p")).alias("x"))
+    return first.select(
+        "x.pull_info.pull_no", "x.pull_info.pull_url", "x.pull_info.pull_title", "x.pull_info.pull_body",
+        F.col("x.pull_info.repository.nameWithOwner").alias("repository"), "x.pull_info.createdAt", "x.pull_info.closedAt",
     )
 
 
@@ -203,3 +204,11 @@ def trainable(long: DataFrame, ids: DataFrame, every: bool = True) -> DataFrame:
     q = long.join(ids.withColumnRenamed("id", "query_id"), "query_id", "left_semi").join(known, "candidate_id", "left")
     fold = F.bool_and if every else F.bool_or
     return q.groupBy("query_id").agg(fold(F.coalesce("known", F.lit(False))).alias("ok")).where("ok").select("query_id")
+
+
+def united(parts: list[DataFrame]) -> DataFrame:
+    """One corpus of several kinds of canonical documents, rows kept; or one table of judgments."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -21,6 +21,15 @@ def valid_nodes(docs: DataFrame) -> DataFrame:
     return docs.where(~blank(F.col("title")) & ~blank(F.col("main_text")))
 
 
+def attributes(docs: DataFrame) -> DataFrame:
+    """Nodes of the document graphs (papers and issues) with what they are described by."""
+    kinds = docs.where(F.col("source_type").isin("paper", "github_issue"))
+    return valid_nodes(kinds).select(
+        "doc_id", "id", F.col("source_type").alias("part"), "title", "main_text", "secondary_texts", "categorical", "hierarchical", "people",
+        "organizations", "projects", "topics", "explicit_related_ids", "is_queryable", "is_candidate",
+    )
+
+
 def keys(docs: DataFrame, relation: str, values: Column, part: Column | None = None) -> DataFrame:
     """(relation, value, doc_id[, part]): one row for each value of a document, repetitions kept."""
     cols = [F.lit(relation).alias("relation"), F.explode(values).alias("value"), F.col("doc_id")]

@@ -269,3 +269,29 @@ def dense_search(docs: DataFrame, queries: DataFrame, k: int, vector: str = "emb
         found = docs.where(F.col(vector).isNotNull()).select("doc_id", vector).mapInArrow(run, SCHEMA)
         out = found if out is None else out.union(found)
     return ranked(out, k)
+
+
+def dense_scores(docs: DataFrame, queries: DataFrame, vector: str = "embedding", epsilon: float = 0.0) -> DataFrame:
+    """(query_id, doc_id, score): the cosine of every document to each of a bounded query set; nothing is shuffled.
+
+    For methods that need a number at every document. A query set above ``ENTRIES`` numbers raises.
+    """
+    asked = queries.select("doc_id", vector).where(F.col(vector).isNotNull())
+    if asked.agg(F.coalesce(F.sum(F.size(vector)), F.lit(0))).first()[0] > ENTRIES:
+        raise ValueError("the query set is too large to be scored against every document at once")
+    table = asked.toArrow()
+    sent = docs.sparkSession.sparkContext.broadcast((table.column(0).to_numpy(), _vectors(table.column(1), table.num_rows)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qid, q = sent.value
+        qn = np.sqrt((q * q).sum(1))
+        for b in batches:
+            d, ids = _vectors(b.column(1), len(b)), b.column(0).to_numpy()
+            if not len(d) or not len(q):
+                continue
+            down = np.sqrt((d * d).sum(1))[:, None] * qn[None, :] + epsilon
+            scores = np.round(np.divide(d @ q.T, down, out=np.zeros(down.shape), where=down != 0), 9) + 0.0
+            columns = [np.tile(qid, len(ids)), np.repeat(ids, len(qid)), scores.reshape(-1)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "doc_id", "score"])
+
+    return docs.where(F.col(vector).isNotNull()).select("doc_id", vector).mapInArrow(run, SCHEMA)

@@ -6,6 +6,9 @@ fetches one batch, so that the engine itself needs no network.
 
 from __future__ import annotations
 
+import hashlib
+import importlib.util
+import json
 import os
 import random
 import time
@@ -18,6 +21,7 @@ from pyspark.sql import types as T
 
 from corpuscle import schema
 from corpuscle.operators.align import numbered
+from corpuscle.operators.validate import fingerprint
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -44,6 +48,13 @@ def json_lines(spark: SparkSession, path: str, kind: T.StructType, strict: bool
     return spark.read.schema(kind).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
 
 
+def json_lines_strict(spark: SparkSession, path: str, kind: T.StructType) -> DataFrame:
+    """JSON lines of which none may be blank; a blank or malformed one raises when it is read."""
+    raised = F.raise_error(F.lit("a blank line"))
+    checked = F.when(F.trim("value") == "", raised).otherwise(F.col("value"))
+    return spark.read.text(path).select(F.from_json(checked, kind, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
 def documents(spark: SparkSession, path: str, source_type: str | None = None) -> DataFrame:
     """Canonical documents, of one type if given."""
     d = json_lines(spark, path, schema.DOCUMENT)
@@ -108,24 +119,37 @@ def results(spark: SparkSession, path: str) -> DataFrame:
     return values.select("method", "metric", F.expr("try_cast(value AS double)").alias("value")).where("value is not null")
 
 
+class Status(Exception):
+    """A service's answer with a status other than success."""
+
+    def __init__(self, code: int):
+        super().__init__(f"status {code}")
+        self.code = code
+
+
+#: Statuses after which a call is tried again (fixed values).
+RETRIED = (429, 500, 502, 503, 504)
+
+
 def with_backoff(call: Callable, tries: int = 6, first: float = 2.0, jitter: float = 0.5, sleep: Callable[[float], None] = time.sleep):
-    """``call()`` with exponentially growing pauses after an OSError; the last error is raised."""
+    """``call()`` with pauses that double, after an OSError or a status in ``RETRIED``; another status and the last error are raised."""
     wait = first
     for n in range(tries):
         try:
             return call()
-        except OSError:
-            if n == tries - 1:
+        except (OSError, Status) as e:
+            if n == tries - 1 or (isinstance(e, Status) and e.code not in RETRIED):
                 raise
             sleep(wait + random.uniform(0, jitter))
             wait *= 2
     return None
 
 
-def fetched(ids: DataFrame, key: str, fetch: Callable[[list[str]], list[dict]], out: T.StructType, size: int = 250, tasks: int = 8) -> DataFrame:
+def fetched(ids: DataFrame, key: str, fetch: Callable[[list[str]], list[dict]], out: T.StructType, size: int = 250, tasks: int = 8, done: DataFrame | None = None) -> DataFrame:
     """Rows that a batch function returns for ids: bounded parallelism, batches of ``size``, retries with backoff.
 
-    ``fetch`` is a metadata service, a language model or any other client; it runs in the workers.
+    ``fetch`` is a metadata service, a language model or any other client; it runs in the workers. Ids in ``done``, what an
+    earlier run has stored, are not asked for again.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,7 +160,28 @@ def fetched(ids: DataFrame, key: str, fetch: Callable[[list[str]], list[dict]],
                 rows = with_backoff(lambda part=part: fetch(part))
                 yield pd.DataFrame(rows, columns=[f.name for f in out])
 
-    return ids.select(key).repartition(tasks, key).mapInPandas(run, out)
+    todo = ids.select(key) if done is None else ids.select(key).join(done.select(key), key, "left_anti")
+    return todo.repartition(tasks, key).mapInPandas(run, out)
+
+
+def indexed(spark: SparkSession, folder: str, source: DataFrame, columns: list[str], settings: dict, build: Callable[[], DataFrame]) -> DataFrame:
+    """An index from a cache that is keyed by its content: a fingerprint of the source's columns and of all settings.
+
+    Built and written where the folder has none for this content.
+    """
+    content = fingerprint(source, columns).first()["fingerprint"]
+    key = hashlib.sha256(json.dumps([content, settings], sort_keys=True, default=str).encode()).hexdigest()[:16]
+    return cached(spark, f"{folder}/{key}", ["index"], lambda: {"index": build()})["index"]
+
+
+def missing_packages(names: list[str]) -> list[str]:
+    """Those of the packages that cannot be imported here."""
+    return [n for n in names if importlib.util.find_spec(n) is None]
+
+
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value): the lines of text files."""
+    return spark.read.text(path)
 
 
 def path_filled(path: str) -> bool:
