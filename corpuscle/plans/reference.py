@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.functions import structured, text
-from corpuscle.operators import align, enrich, graph, metrics, nested, retrieval, sampling, validate
+from corpuscle.operators import align, bench, enrich, graph, metrics, nested, retrieval, sampling, validate
 from corpuscle.session import cut, table
 
 K = 10
-GRID = [{"metadata": a, "title": b, "main_text": c} for a, b, c in ((1.0, 1.0, 2.0), (0.0, 1.0, 1.0), (1.0, 1.0, 1.0), (2.0, 1.0, 1.0))]
+#: Field weights that are searched (fixed values), and the trials that are made.
+WEIGHTS = {"metadata": [0.5, 1.0, 1.5, 2.0, 3.0, 4.0], "title": [0.5, 1.0, 1.5, 2.0, 3.0], "main_text": [0.5, 1.0, 1.5, 2.0]}
+GRID = bench.settings(WEIGHTS, 20)
 PRICES = {"nano": (0.05, 0.4), "mini": (0.25, 2.0)}
 ALPHAS = [0.5] * 5
 
@@ -110,12 +112,8 @@ def charm_param_search(spark: SparkSession, d: str) -> DataFrame:
     c, t = corpus(spark, d), cut(truth(spark, d))
     q = asked(c, t)
     known = t.join(q.select(F.col("doc_id").alias("query_id")), "query_id", "left_semi")
-    means = None
-    for no, weights in enumerate(GRID):
-        m = metrics.means(metrics.evaluate(retrieval.charm(retrieval.candidates(c), q, K, weights), known, (K,)))
-        m = m.where("metric = 'ndcg'").select(F.lit(no).cast("long").alias("trial"), F.col("mean").alias("ndcg"))
-        means = m if means is None else means.union(m)
-    return means.orderBy(F.desc("ndcg"), "trial")
+    found = cut(retrieval.charm_trials(retrieval.candidates(c), q, GRID, K))
+    return bench.trial_means(found, known, K).orderBy(F.desc("ndcg"), "trial")
 
 
 def method_comparison(spark: SparkSession, d: str) -> DataFrame:

@@ -127,8 +127,8 @@ pm AS ({MEAN.format('mp')}), lm AS ({MEAN.format('ml')}),
 cmp AS (SELECT lm.metric, lm.k, pm.mean AS base, lm.mean, round(CASE WHEN pm.mean <> 0 THEN (lm.mean - pm.mean) / pm.mean * 100 ELSE 0 END, 4) AS change
   FROM lm JOIN pm ON lm.metric = pm.metric AND lm.k IS NOT DISTINCT FROM pm.k)"""
 
-_trials = ", ".join(f"{charm(f, f'x{i}')}, {metric_ctes(f'x{i}', name=f'y{i}', ks=(K,))}" for i, f in enumerate(GRID))
-_trial_rows = " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS trial, round(avg(value), 6) AS ndcg FROM y{i} WHERE metric = 'ndcg'" for i in range(len(GRID)))
+_trials = ", ".join(f"{charm(f, f'x{i}_')}, {metric_ctes(f'x{i}_', name=f'y{i}_', ks=(K,))}" for i, f in enumerate(GRID))
+_trial_rows = " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS trial, round(avg(value), 6) AS ndcg FROM y{i}_ WHERE metric = 'ndcg'" for i in range(len(GRID)))
 
 VECTORS = "v AS (SELECT vec_id AS doc_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings), q AS (SELECT * FROM v WHERE doc_id % 100 = 0)"
 

@@ -131,7 +131,7 @@ def test_text_functions(spark):
     df = spark.createDataFrame([("Añ B\tC\x1fd", None), ("", "x" * 100), (None, "A b!")], "a string, b string")
     r = df.select(text.tokens(F.col("a")).alias("t"), text.slug(F.col("b")).alias("s"), text.blank(F.col("a")).alias("k")).collect()
     assert r[0].t == ["añ", "b", "c", "d"] and r[1].t == [] and r[2].t == []
-    assert len(r[1].s) == 79 and r[2].s == "a-b" and [x.k for x in r] == [False, True, True]
+    assert len(r[1].s) == 81 and r[2].s == "a-b" and [x.k for x in r] == [False, True, True]
 
 
 def test_vector_functions(spark):
@@ -315,6 +315,94 @@ def test_judgment_selection(spark):
     assert align.valid_qrels(long, ids).count() == 2
 
 
+def test_metric_choice_and_trials(spark):
+    m = spark.createDataFrame([("ndcg", 10, 0.5), ("ndcg", 5, 0.4), ("mrr", None, 0.3), ("map", 10, 0.2)], "metric string, k long, mean double")
+    assert [(r.metric, r.k, r.place) for r in metrics.selected(m, None, [10]).orderBy("place").collect()] == [("mrr", None, 1), ("map", 10, 2), ("ndcg", 10, 3)]
+    assert [r.metric for r in metrics.selected(m, ["map"]).collect()] == ["map"]
+    r = spark.createDataFrame([(0, "q", 1, 1), (1, "q", 2, 1), (1, "q", 1, 2)], "trial long, query_id string, doc_id long, rank long")
+    t = spark.createDataFrame([("q", 1)], "query_id string, doc_id long")
+    assert {x.trial: x.ndcg for x in bench.trial_means(r, t).collect()} == {0: 1.0, 1: round(1 / math.log2(3), 6)}
+    assert len({str(s) for s in bench.settings({"a": [1, 2], "b": [3, 4]}, 99)}) == 4
+
+
+def test_wrapping_slugs_and_answers(spark):
+    df = spark.createDataFrame([(["a" * 30, "b" * 30, "c" * 20, "d" * 90],), ([],)], "p array<string>")
+    assert [r[0] for r in df.select(text.wrapped(F.col("p"))).collect()] == ["a" * 30 + " | " + "b" * 30 + "\n" + "c" * 20 + "\n" + "d" * 90, ""]
+    a = [json.dumps({"output_text": "x"}), json.dumps({"output": [{"content": [{"type": "t", "text": "n"}, {"type": "output_text", "text": "y"}]}, {}]}), "{}", None, "broken"]
+    got = spark.createDataFrame([(x,) for x in a], "r string").select(text.output_text(F.col("r"))).collect()
+    assert [r[0] for r in got] == ["x", "y", "", "", ""]
+
+
+def test_strict_lines_and_content_key(spark, tmp_path):
+    from pyspark.errors import PySparkException
+
+    from corpuscle import schema
+
+    (tmp_path / "a.jsonl").write_text('{"query_id": "1"}\n\n{"query_id": "2"}\n')
+    assert readers.json_lines(spark, f"{tmp_path}/a.jsonl", schema.QREL).count() == 2
+    with pytest.raises(PySparkException):
+        readers.json_lines_strict(spark, f"{tmp_path}/a.jsonl", schema.QREL).collect()
+    built = []
+
+    def index(settings, rows):
+        def build():
+            built.append(1)
+            return rows
+
+        return readers.indexed(spark, f"{tmp_path}/i", rows, ["id"], settings, build)
+
+    one = spark.range(3)
+    assert index({"m": 1}, one).count() == index({"m": 1}, one).count() == 3 and len(built) == 1
+    index({"m": 2}, one), index({"m": 1}, spark.range(4))
+    assert len(built) == 3
+
+
+def test_batches_go_on_after_failures_and_restarts(spark, tmp_path):
+    class Service:
+        def __init__(self):
+            self.jobs = []
+
+        def submit(self, path):
+            self.jobs.append(path)
+            return str(len(self.jobs) - 1)
+
+        def status(self, batch_id):
+            return "failed" if batch_id == "1" else "completed"
+
+        def download(self, batch_id, path):
+            asked = spark.read.text(self.jobs[int(batch_id)])
+            said = F.struct(F.struct(F.upper(F.get_json_object("value", "$.q")).alias("output_text")).alias("body"))
+            line = F.struct(F.get_json_object("value", "$.custom_id").alias("custom_id"), said.alias("response"))
+            asked.select(F.to_json(line).alias("value")).write.text(path)
+
+    rows = spark.createDataFrame([(f"{i}", json.dumps({"custom_id": f"{i}", "q": f"w{i}"})) for i in range(10)], "id string, value string")
+    service = Service()
+    b = bench.Batches(spark, str(tmp_path), service)
+    b.prepare(rows, "id", 3)
+    assert b.step() and len(service.jobs) == 2
+    got = bench.Batches(spark, str(tmp_path), service).run(0.0)  # another process goes on
+    assert {r.custom_id: r.answer for r in got.collect()} == {f"{i}": f"W{i}" for i in range(10)}
+    assert len(service.jobs) == 5 and not b.step()
+
+
+def test_backoff_tells_statuses_apart():
+    calls = []
+
+    def busy():
+        calls.append(1)
+        raise readers.Status(503 if len(calls) < 3 else 404)
+
+    with pytest.raises(readers.Status):
+        readers.with_backoff(busy, sleep=lambda s: None)
+    assert len(calls) == 3
+
+
+def test_fragments_keep_their_values(spark):
+    raw = '{"a": {"x": [1, "b"]}}, {"n": 2.5, "t": "say \\"hi\\"", "u": null, "a": {"y": true}}'
+    r = spark.createDataFrame([(raw,)], "t string").select(structured.parse_hierarchy(F.col("t")).alias("p")).first().p
+    assert json.loads(r.value) == {"a": {"y": True}, "n": 2.5, "t": 'say "hi"', "u": None}
+
+
 def test_requests(spark):
     from corpuscle.operators import requests
 
