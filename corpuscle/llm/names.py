@@ -2,7 +2,8 @@
 
 A spelling is folded and taken apart: of a person the surname, the given name (short forms replaced by the given name
 they stand for) or its initial; of an organisation its kind (the words for institute, university, laboratories and so
-on, in their common abbreviations) and its proper name. Candidates come from a segment join by the pigeonhole principle:
+on) and its proper name. How kinds are abbreviated is learnt: a shorter form of a kind's word is one if organisations have it in the
+place of that word beside the same rest of a name. Candidates come from a segment join by the pigeonhole principle:
 a string is cut into k+1 segments, so that any string within k edits holds one of them unchanged, shifted by at most k.
 Segments go into an inverted index under (kind of index, length, number, text); the substrings of every string at the
 allowed shifts are looked up in it, and a banded edit distance verifies what meets.
@@ -37,24 +38,18 @@ PLACEHOLDERS = (
 )
 #: Words before or after a person's name (fixed values).
 TITLES = ("dr", "prof", "professor", "mr", "mrs", "ms", "miss", "sir", "dame", "phd", "md", "msc", "bsc", "jr", "sr", "ii", "iii")
-#: Words of organisations and the kind they stand for; an empty kind counts for nothing (fixed values).
-KINDS = {
-    "university": "university", "univ": "university", "u": "university", "uni": "university", "universitat": "university",
-    "universite": "university", "universidad": "university", "institute": "institute", "inst": "institute",
-    "institut": "institute", "technology": "technology", "technol": "technology", "tech": "technology",
-    "research": "research", "res": "research", "laboratories": "laboratory", "laboratory": "laboratory",
-    "labs": "laboratory", "lab": "laboratory", "foundation": "foundation", "fdn": "foundation", "found": "foundation",
-    "fnd": "foundation", "national": "national", "natl": "national", "nat": "national", "centre": "centre",
-    "center": "centre", "ctr": "centre", "cent": "centre", "studies": "studies", "stud": "studies",
-    "systems": "systems", "system": "systems", "sys": "systems", "syst": "systems", "college": "college",
-    "coll": "college", "school": "school", "sch": "school", "academy": "academy", "acad": "academy",
-    "department": "department", "dept": "department", "society": "society", "soc": "society", "association": "association",
-    "assoc": "association", "company": "", "co": "", "corporation": "", "corp": "", "incorporated": "", "inc": "",
-    "limited": "", "ltd": "", "llc": "", "gmbh": "", "plc": "", "ag": "", "sa": "", "the": "", "of": "", "for": "",
-    "and": "", "de": "", "at": "", "in": "", "non": "", "profit": "", "nonprofit": "", "l": "",
-}
+#: Words for a kind of organisation (fixed values); their abbreviations are learnt from the spellings.
+KINDS = (
+    "university", "institute", "technology", "research", "laboratory", "laboratories", "labs", "foundation", "national", "centre", "studies",
+    "systems", "college", "school", "academy", "department", "society", "association",
+)
+#: Words of organisations that count for nothing (fixed values).
+NOTHING = (
+    "company", "co", "corporation", "corp", "incorporated", "inc", "limited", "ltd", "llc", "gmbh", "plc", "ag", "sa", "the", "of",
+    "for", "and", "de", "at", "in", "non", "profit", "nonprofit", "l",
+)
 _WORD = re.compile(r"[^\W\d_]+")
-_LONG_KINDS = sorted(w for w in KINDS if len(w) >= 6)
+_SAME = {"laboratories": "laboratory", "labs": "laboratory"}
 
 
 def fold(s: str) -> str:
@@ -78,16 +73,34 @@ def _near(a: str, b: str) -> bool:
     return a[i:] == b[i + 1 :]
 
 
-def organisation(name: str) -> tuple[str, str] | None:
+def abbreviates(w: str, long: str) -> bool:
+    """Whether a word is a shorter form of another: its first letter and some of its others in their order."""
+    letters = iter(long)
+    return len(w) < len(long) and w[:1] == long[:1] and all(c in letters for c in w)
+
+
+def _kind(w: str, learnt: dict[str, str]) -> str | None:
+    """The kind that a word stands for, '' for nothing, None if it is part of a name."""
+    if w in NOTHING:
+        return ""
+    if w in KINDS:
+        return _SAME.get(w, w)
+    if w in learnt:
+        return learnt[w]
+    if len(w) >= 5:
+        near = next((x for x in KINDS if _near(w, x)), None)
+        return near and _SAME.get(near, near)
+    return None
+
+
+def organisation(name: str, learnt: dict[str, str]) -> tuple[str, str] | None:
     """(kind, proper name) of an organisation's spelling."""
     s = fold(name)
     if s in PLACEHOLDERS:
         return None
     kinds, proper = set(), []
     for w in _WORD.findall(s):
-        kind = KINDS.get(w)
-        if kind is None and len(w) >= 5:
-            kind = next((KINDS[x] for x in _LONG_KINDS if _near(w, x)), None)
+        kind = _kind(w, learnt)
         if kind is None:
             proper.append(w)
         elif kind:
@@ -97,6 +110,37 @@ def organisation(name: str) -> tuple[str, str] | None:
     return " ".join(sorted(kinds)), "".join(proper) or " ".join(sorted(kinds))
 
 
+def evidence(name: str) -> list[tuple[str, str, str]]:
+    """(kind, rest, word) of a spelling: words that are a kind, or may abbreviate one, with the words that are neither.
+
+    ``word`` is null for a kind that is written out.
+    """
+    ws = [w for w in _WORD.findall(fold(name)) if w not in NOTHING]
+    maybe = {w: [k for k in KINDS if abbreviates(w, k)] for w in ws if w not in KINDS}
+    rest = " ".join(sorted(w for w in ws if w not in KINDS and not maybe[w]))
+    if not rest:
+        return []
+    return [(_SAME.get(w, w), rest, None) for w in ws if w in KINDS] + [(k, rest, w) for w, kinds in maybe.items() for k in dict.fromkeys(_SAME.get(k, k) for k in kinds)]
+
+
+def abbreviations(names: DataFrame) -> dict[str, str]:
+    """Word to kind: what organisations write in place of a kind, beside the same rest of a name; the kind with most such rests.
+
+    The result is bounded: it holds shorter forms of the few ``KINDS`` only.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [r for n in b.column(0) for r in evidence(n.as_py())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], names=["kind", "rest", "w"])
+
+    said = names.where("field_name = 'organizations'").select("name").mapInArrow(run, "kind string, rest string, w string").distinct()
+    whole = said.where("w is null").select("kind", "rest")
+    met = said.where("w is not null").join(whole, ["kind", "rest"], "left_semi").groupBy("w", "kind").agg(F.count("*").alias("n"))
+    best = met.groupBy("w").agg(F.max(F.struct("n", "kind")).alias("b"))
+    return {r["w"]: r["kind"] for r in best.select("w", "b.kind").collect()}
+
+
 def person(name: str) -> tuple[list[str], list[str], str] | None:
     """(full words, initials, how) of a person's spelling; how: 'comma' (the surname stands first) or 'free'.
 
@@ -202,12 +246,15 @@ def spellings(documents: DataFrame) -> DataFrame:
 
 
 def _parsed(names: DataFrame) -> DataFrame:
+    names = cut(names)
+    learnt = abbreviations(names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for f, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if f == "organizations":
-                    if o := organisation(n):
+                    if o := organisation(n, learnt):
                         rows.append((f, n, [o[1]], [], "", o[0]))
                 elif p := person(n):
                     rows.append((f, n, p[0], p[1], p[2], ""))

@@ -213,3 +213,12 @@ def test_name_variants(spark):
     expected = {(f, min(a, b), max(a, b)) for f, groups in (("people", PEOPLE), ("organizations", ORGS)) for g in groups for a in g for b in g if a != b}
     assert got == expected
     assert names.variant_pairs(docs.where("false"), nick).count() == 0
+
+
+def test_abbreviations_are_learnt_beside_the_same_rest(spark):
+    said = ["Institute of Foox Barx", "Inst. Foox Barx", "Ins Foox Barx", "Institution Nowhere", "Sol Research", "School of Foox", "Schl Foox", "Sol Nowhere", "Zedd Natl. Labs", "National Labs Zedd", None, ""]
+    df = spark.createDataFrame([("organizations", n) for n in said if n is not None] + [("people", "Inst Person")], "field_name string, name string")
+    assert names.abbreviations(df) == {"inst": "institute", "ins": "institute", "schl": "school", "natl": "national"}
+    assert names.organisation("Sol Research", {}) == ("research", "sol") and names.organisation("Insitute of X", {}) == ("institute", "x")
+    assert names.abbreviations(df.where("false")) == {}
+    assert names.abbreviates("fdn", "foundation") and not names.abbreviates("foundation", "foundation") and not names.abbreviates("ndf", "foundation")
