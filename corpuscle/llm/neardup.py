@@ -38,7 +38,10 @@ from pyspark.sql import functions as F
 from corpuscle.operators.components import components
 from corpuscle.session import cut
 
-SHINGLE, MIN_WORDS, BANDS, ROWS, CROWD = 3, 40, 64, 4, 50
+SHINGLE, MIN_WORDS, BANDS, ROWS = 3, 40, 64, 4
+#: From so many rows of a key on, the n (n - 1) / 2 pairs of a key cost more than the prefixes of its texts (some 200 rows each, for
+#: all of a text's keys together). Any number gives the same pairs.
+CROWD = 300
 #: Keys that are broadcast at most (8 bytes each); beyond that their rows are found by a shuffled join.
 BROADCAST_KEYS = 200_000
 #: The most frequent shingles of crowded texts that are put last by their frequency (16 bytes each); all others, at least as
