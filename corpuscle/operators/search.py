@@ -7,8 +7,10 @@ rows, never queries x documents. Scores are rounded before they are ranked and t
 result does not depend on partitioning.
 
 Sparse vectors: the corpus is tokenised once into a token table (:func:`term_index`), from which frequencies, queries and
-scores are all made. Its terms are encoded by batch, so weighting and scoring are array operations over the whole batch. Terms that many queries of the block have are scored by one matrix
-product, the others by their postings. A join of the postings of both sides in the JVM would write a row for every term that
+scores are all made. Its terms are encoded by batch, so weighting and scoring are array operations over the whole batch.
+Queries and texts are put into groups of alike ones; terms that a pair of groups often shares are scored by a matrix product
+in single precision, the others by their postings. Only pairs that may be among the k best within the bound of its error are
+scored again in double precision, so no pair is left out and the ranking is that of the exact scores. A join of the postings of both sides in the JVM would write a row for every term that
 a query and a document have in common (351 million rows at sf0.1, where both sides are whole texts) to add them up again.
 
 Documents that share nothing with a query have score 0 and take part in the ranking. Null or empty texts and vectors
@@ -31,8 +33,11 @@ from corpuscle.session import cut, spread
 
 #: Most entries (query, term) or numbers of one block, and most bytes of its terms; a block is gathered and broadcast.
 ENTRIES, BYTES = 4_000_000, 64_000_000
-#: Terms that one in so many queries of a block has are scored by a matrix product.
-COMMON = 32
+#: Terms that one in so many queries of a group has may be scored by a matrix product; it is cheaper than the postings for a
+#: term that at least one in so many pairs of a text and a query shares. Groups of alike queries of a block.
+COMMON, DENSE, GROUPS = 64, 500, 8
+#: Most queries of a group and most terms of its matrix.
+MEMBERS, WIDTH = 8192, 2000
 SCHEMA = "query_id long, doc_id long, score double"
 
 
@@ -63,8 +68,39 @@ class Best:
         first = order[(np.arange(len(order)) - starts[q[order]]) < self.k]
         self.score, self.doc = score[first].reshape(nq, -1), doc[first].reshape(nq, -1)
 
-    def batch(self) -> pa.RecordBatch:
+    def floor(self, queries: np.ndarray) -> np.ndarray:
+        """Lower bounds of the k best scores of some queries so far, in descending order."""
+        out = np.full((len(queries), self.k), -np.inf)
+        out[:, : self.score.shape[1]] = self.score[queries] - 1e-9
+        return out
+
+    def take(self, q: np.ndarray, docs: np.ndarray, scores: np.ndarray) -> None:
+        """Rank single pairs of a query's place, a document and their score."""
+        of, at = np.unique(q, return_inverse=True)
+        held = self.score.shape[1]
+        if held < self.k:
+            more = self.k - held
+            self.score = np.hstack([self.score, np.full((len(self.queries), more), -np.inf)])
+            self.doc = np.hstack([self.doc, np.zeros((len(self.queries), more), np.int64)])
+        one = np.concatenate([np.repeat(np.arange(len(of)), self.k), at])
+        score = np.concatenate([self.score[of].reshape(-1), np.round(scores, 9) + 0.0])
+        doc = np.concatenate([self.doc[of].reshape(-1), docs])
+        order = np.lexsort((doc, -score, one))
+        starts = np.searchsorted(one[order], np.arange(len(of)))
+        first = order[(np.arange(len(order)) - starts[one[order]]) < self.k]
+        self.score[of], self.doc[of] = score[first].reshape(-1, self.k), doc[first].reshape(-1, self.k)
+
+    def batch(self, asked: np.ndarray | None = None) -> pa.RecordBatch:
+        """All rows, or those of the queries that are ``asked``."""
         n = self.doc.shape[1]
+        taken = ~np.isneginf(self.score)  # places that a document took
+        if asked is not None:
+            taken &= asked[:, None]
+        if not taken.all():
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(self.queries, taken.sum(1))), pa.array(self.doc[taken]), pa.array(self.score[taken])],
+                names=["query_id", "doc_id", "score"],
+            )
         return pa.RecordBatch.from_arrays(
             [pa.array(np.repeat(self.queries, n)), pa.array(self.doc.reshape(-1)), pa.array(self.score.reshape(-1))],
             names=["query_id", "doc_id", "score"],
@@ -111,41 +147,192 @@ def bm25_weights(avgdl: float, k1: float = 1.5, b: float = 0.75) -> Callable:
 
 
 class Index:
-    """The queries of a block: terms in few queries with their postings, common ones as rows of a matrix."""
+    """The queries of a block in groups of alike ones; of each group the terms with their postings."""
 
     def __init__(self, table: pa.Table):
+        """``table``: query_id, term and one or more columns of weights, of which :meth:`offer` takes a sum."""
         query = table.column("query_id").to_numpy()
-        self.queries = np.unique(query)
+        self.queries, q = np.unique(query, return_inverse=True)
         terms = table.column("term").combine_chunks().dictionary_encode()
-        ids, q = terms.indices.to_numpy(), np.searchsorted(self.queries, query)
-        self.terms = terms.dictionary
-        order = np.argsort(ids, kind="stable")
-        self.q, self.w = q[order].astype(np.int32), table.column("weight").to_numpy()[order]
-        self.starts = np.searchsorted(ids[order], np.arange(len(self.terms) + 1))
-        often = np.diff(self.starts) * COMMON >= len(self.queries)
-        self.place = np.where(often, np.cumsum(often) - 1, -1)
-
-    def matrix(self) -> np.ndarray:
-        """Common terms x queries."""
-        out = np.zeros((int((self.place >= 0).sum()), len(self.queries)))
-        term = np.repeat(np.arange(len(self.terms)), np.diff(self.starts))
-        common = self.place[term] >= 0
-        out[self.place[term[common]], self.q[common]] = self.w[common]
+        self.terms, term, w = terms.dictionary, terms.indices.to_numpy().astype(np.int64), np.stack([c.to_numpy() for c in table.columns[2:]])
+        # directions that tell groups apart come from the common terms
+        often = np.flatnonzero(np.bincount(term, minlength=len(self.terms)) * COMMON >= len(self.queries))
+        self.place = np.full(len(self.terms), -1)
+        self.place[often] = np.arange(len(often))
+        dense = self.place[term] >= 0
+        group = self._grouped(q[dense], self.place[term[dense]], w[:, dense].sum(0))
+        self.groups = []
+        for g in range(len(self.centres)):
+            every = np.flatnonzero(group == g)
+            for part in np.array_split(every, -(-len(every) // MEMBERS)) if len(every) else ():
+                inside = np.full(len(self.queries), -1, np.int32)
+                inside[part] = np.arange(len(part))
+                at = np.flatnonzero(inside[q] >= 0)
+                at = at[np.lexsort((q[at], term[at]))]
+                known, starts = np.unique(term[at], return_index=True)
+                self.groups.append((g, part, known.astype(np.int32), np.append(starts, len(at)), inside[q[at]], w[:, at]))
+
+    def _grouped(self, q: np.ndarray, place: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """The group of each query, by a few rounds of k-means from some of them; sets ``centres``. Any grouping gives the same results."""
+        nq, n = len(self.queries), int(self.place.max(initial=-1)) + 1
+        length = np.sqrt(np.bincount(q, w * w, nq))
+        length[length == 0] = 1
+
+        def rows(lo: int, hi: int) -> np.ndarray:
+            out, some = np.zeros((hi - lo, n), np.float32), (q >= lo) & (q < hi)
+            out[q[some] - lo, place[some]] = w[some] / length[q[some]]
+            return out
+
+        some = rows(0, min(nq, 2000))
+        count = GROUPS if nq >= 64 * GROUPS and n else 1
+        self.centres = some[np.linspace(0, len(some) - 1, count).astype(int)]
+        for _ in range(6 * (count > 1)):
+            near = self.nearest(some)
+            self.centres = np.stack([some[near == g].mean(0) if (near == g).any() else self.centres[g] for g in range(count)])
+            self.centres /= np.maximum(np.sqrt((self.centres**2).sum(1)), 1e-9)[:, None]
+        return np.concatenate([self.nearest(rows(lo, min(nq, lo + 2000))) for lo in range(0, nq, 2000)])
+
+    def nearest(self, rows: np.ndarray) -> np.ndarray:
+        return (rows @ self.centres.T).argmax(1) if len(self.centres) > 1 else np.zeros(len(rows), np.int64)
+
+    def offer(self, best: Best, ids: np.ndarray, row: np.ndarray, term: np.ndarray, value: np.ndarray, shares: np.ndarray | None = None) -> None:
+        """Rank texts, given by their (row, term, value) with terms of this index, among the best of all queries.
+
+        With ``shares`` a query's vector is the sum of its columns of weights with these shares, scaled to length 1.
+
+        Texts are taken by groups too. A text and a query of groups that share a term often meet there in a matrix product, else by
+        the postings; both in single precision, whose error is bounded. Pairs that may be among the k best within that bound are
+        scored again in double precision, so the ranking is that of the exact scores.
+        """
+        n = len(ids)
+        some = self.place[term] >= 0
+        rows = np.zeros((n, self.centres.shape[1]), np.float32)
+        rows[row[some], self.place[term[some]]] = value[some]
+        near = self.nearest(rows)
+        by = np.argsort(near, kind="stable")
+        back = np.empty(n, np.int64)
+        back[by] = np.arange(n)
+        near, ids, row = near[by], ids[by], back[row]
+        order = np.argsort(row, kind="stable")
+        row, term, value = row[order], term[order], value[order]
+        for own, members, known, starts, postings, parts in self.groups:
+            w = parts[0]
+            if shares is not None:
+                w = shares @ parts
+                length = np.sqrt(np.bincount(postings, w * w, len(members)))
+                w = w / np.where(length > 0, length, 1.0)[postings]
+            _offer(best, (own, members, known, starts, postings, w), len(self.terms), near, ids, row, term, value)
+
+    def asked(self, shares: np.ndarray) -> np.ndarray:
+        """Whether each query has a vector with these shares."""
+        out = np.zeros(len(self.queries), bool)
+        for _, members, _, _, postings, parts in self.groups:
+            out[members] = np.bincount(postings, np.abs(shares @ parts), len(members)) > 0
         return out
 
-    def scores(self, rows: int, row: np.ndarray, term: np.ndarray, value: np.ndarray, common: np.ndarray) -> np.ndarray:
-        """Texts x queries, from the terms of the texts."""
-        nq, place = len(self.queries), self.place[term]
-        dense = place >= 0
-        side = np.zeros((rows, len(common)))
-        side[row[dense], place[dense]] = value[dense]
-        out = side @ common
-        row, term, value = row[~dense], term[~dense], value[~dense]
-        begin, n = self.starts[term], self.starts[term + 1] - self.starts[term]
-        if n.sum():
-            at = np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)
-            out += np.bincount(np.repeat(row * nq, n) + self.q[at], self.w[at] * np.repeat(value, n), rows * nq).reshape(rows, nq)
-        return out
+
+def _expanded(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers begin .. begin + n - 1 of all, one after the other."""
+    return np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)
+
+
+def _offer(best: Best, group: tuple, vocabulary: int, near: np.ndarray, ids: np.ndarray, row: np.ndarray, term: np.ndarray, value: np.ndarray) -> None:
+    """Rank texts, ordered by their groups ``near``, among the best of the queries of one group."""
+    own, members, known, starts, postings, w = group
+    nq, n, k, count = len(members), len(ids), best.k, np.diff(starts)
+    lut = np.full(vocabulary, -1, np.int32)
+    lut[known] = np.arange(len(known))
+    term = lut[term]
+    row, term, value = row[term >= 0], term[term >= 0], value[term >= 0]
+    ends = np.searchsorted(row, np.arange(n + 1))
+    # dense sides of the terms that many queries of the group have
+    common = np.flatnonzero(count * COMMON >= nq)
+    common = np.sort(common[np.argsort(-count[common], kind="stable")[:WIDTH]])
+    place = np.full(len(known), -1, np.int32)
+    place[common] = np.arange(len(common))
+    here = np.repeat(place, count)
+    exact = np.zeros((nq, len(common)))
+    exact[postings[here >= 0], here[here >= 0]] = w[here >= 0]
+    single, share, w32 = np.ascontiguousarray(exact.T, np.float32), count[common] / nq, w.astype(np.float32)
+    side = np.zeros((n, len(common)), np.float32)
+    some = place[term] >= 0
+    side[row[some], place[term[some]]] = value[some]
+    # a sum of m products in single precision is wrong by (m + 3) units of its lengths' product at most
+    unit = (int(np.diff(ends).max(initial=0)) + 8) * 2.0**-23
+    wide = np.sqrt(np.bincount(row, value * value, n).max(initial=0.0)) if n else 0.0
+    error = unit * wide * np.sqrt(np.bincount(postings, w * w, nq)) + 1e-9
+    floor = best.floor(members)
+    # without negative numbers all scores are 0 at least, and of texts that share nothing with a query the smallest ids count
+    apart = n >= k and (w >= 0).all() and (value >= 0).all()
+    if apart:
+        floor = np.maximum(floor, 0.0)
+    found: list[tuple[np.ndarray, ...]] = []
+    starts_of = np.searchsorted(near, np.arange(int(near.max(initial=0)) + 2))
+    spans = [(g, int(a), int(b)) for g, (a, b) in enumerate(zip(starts_of[:-1], starts_of[1:])) if a < b]
+    step, most = (64 if (floor[:, -1] <= 0).any() else 1 << 20), max(32, min(1024, 2_000_000 // nq))
+    for g, begin, end in sorted(spans, key=lambda x: (x[0] != own, x[0])):
+        dims = np.flatnonzero((side[begin:end] != 0).mean(0) * share * DENSE > 1)
+        dense = np.zeros(len(known), bool)
+        dense[common[dims]] = True
+        right = single[dims]
+        lo = begin
+        while lo < end:
+            hi = min(end, lo + min(step, most))
+            step = min(2 * step, 1 << 20)
+            scores = side[lo:hi, dims] @ right
+            e = slice(ends[lo], ends[hi])
+            t, r, v = term[e], row[e] - lo, value[e]
+            t, r, v = (x[~dense[t]] for x in (t, r, v))
+            m = count[t]
+            at = _expanded(starts[t], m)
+            if len(at):
+                np.add.at(scores.reshape(-1), np.repeat(r * nq, m) + postings[at], np.repeat(v.astype(np.float32), m) * w32[at])
+            bound = floor[:, -1] - error
+            if (floor[:, -1] <= 0).mean() > 0.1 and hi - lo >= k:
+                bound = np.maximum(bound, np.partition(scores, hi - lo - k, axis=0)[hi - lo - k] - 2 * error)
+            limit = np.nextafter(bound.astype(np.float32), np.float32(-np.inf))
+            if apart:
+                limit = np.maximum(limit, np.finfo(np.float32).tiny)
+            d, q = np.divmod(np.flatnonzero(scores >= limit), nq)
+            if len(d):
+                s = scores[d, q].astype(np.float64)
+                found.append((d + lo, q, s))
+                _raise(floor, q, s - error[q], k)
+            lo = hi
+    d, q, s = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 3
+    still = s + error[q] >= floor[q, -1]
+    d, q = d[still], q[still]
+    if apart and len(few := np.flatnonzero(floor[:, -1] <= 0)):
+        first = np.argpartition(ids, k - 1)[:k]
+        every = np.unique(np.concatenate([d * nq + q, (first[:, None] * nq + few).reshape(-1)]))
+        d, q = np.divmod(every, nq)
+    order = np.argsort(q, kind="stable")
+    d, q = d[order], q[order]
+    key = np.repeat(np.arange(len(known), dtype=np.int64) * nq, count) + postings
+    for lo in range(0, len(d), 20_000):
+        dd, qq = d[lo : lo + 20_000], q[lo : lo + 20_000]
+        m = ends[dd + 1] - ends[dd]
+        at, pair = _expanded(ends[dd], m), np.repeat(np.arange(len(dd)), m)
+        t, qr = term[at], qq[pair]
+        often = place[t] >= 0
+        weight = np.zeros(len(at))
+        weight[often] = exact[qr[often], place[t[often]]]
+        asked = t[~often].astype(np.int64) * nq + qr[~often]
+        where = np.minimum(np.searchsorted(key, asked), len(key) - 1)
+        weight[~often] = np.where(key[where] == asked, w[where], 0.0)
+        best.take(members[qq], ids[dd], np.bincount(pair, weight * value[at], len(dd)))
+
+
+def _raise(floor: np.ndarray, q: np.ndarray, s: np.ndarray, k: int) -> None:
+    """Put lower bounds ``s`` of scores of queries ``q`` among their k largest, in descending order."""
+    order = np.lexsort((-s, q))
+    q, s = q[order], s[order]
+    of, first, n = np.unique(q, return_index=True, return_counts=True)
+    place = np.arange(len(q)) - np.repeat(first, n)
+    new = np.full((len(of), k), -np.inf)
+    some = place < k
+    new[np.repeat(np.arange(len(of)), n)[some], place[some]] = s[some]
+    floor[of] = -np.sort(-np.concatenate([floor[of], new], axis=1), axis=1)[:, :k]
 
 
 def term_index(docs: DataFrame, fields: list[str]) -> DataFrame:
@@ -174,27 +361,35 @@ def term_index(docs: DataFrame, fields: list[str]) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id long, {kinds}")
 
 
-def text_terms(batch: pa.RecordBatch, shares: list[float], weights: Callable, unit: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """(row, code, value, dictionary) of a batch of a token table: the terms of every text, fields added with their shares."""
+def text_parts(batch: pa.RecordBatch, fields: int, weights: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(row, code, values of each field, dictionary) of a batch of a token table: the terms of every text."""
     n = batch.num_rows
-    flat = pa.chunked_array([batch.column(3 * f + 1).flatten() for f in range(len(shares))]).combine_chunks().dictionary_encode()
+    flat = pa.chunked_array([batch.column(3 * f + 1).flatten() for f in range(fields)]).combine_chunks().dictionary_encode()
     codes, size = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(1, len(flat.dictionary))
     keys, values, at = [], [], 0
-    for f, share in enumerate(shares):
+    for f in range(fields):
         row = np.repeat(np.arange(n), pc.list_value_length(batch.column(3 * f + 1)).to_numpy())
         tf = batch.column(3 * f + 2).flatten().to_numpy().astype(float)
         keys.append(row * size + codes[at : at + len(row)])
         at += len(row)
-        values.append(share * weights(tf, row, batch.column(3 * f + 3).to_numpy().astype(float)))
-    key, value = keys[0], values[0]
-    if len(keys) > 1:
-        key, back = np.unique(np.concatenate(keys), return_inverse=True)
-        value = np.bincount(back, np.concatenate(values), len(key))
-    row = key // size
+        values.append(weights(tf, row, batch.column(3 * f + 3).to_numpy().astype(float)))
+    if fields == 1:
+        return row, codes, values[0][None], flat.dictionary
+    key, back = np.unique(np.concatenate(keys), return_inverse=True)
+    parts, at = np.zeros((fields, len(key))), 0
+    for f, v in enumerate(values):
+        parts[f, back[at : at + len(v)]] = v
+        at += len(v)
+    return key // size, key % size, parts, flat.dictionary
+
+
+def summed(row: np.ndarray, parts: np.ndarray, shares: np.ndarray, unit: bool, n: int) -> np.ndarray:
+    """Fields added with their shares, and with ``unit`` scaled to length 1 for each of ``n`` texts."""
+    value = shares @ parts
     if unit:
         length = np.sqrt(np.bincount(row, value * value, n))
         value = value / np.where(length > 0, length, 1.0)[row]
-    return row, key % size, value, flat.dictionary
+    return value
 
 
 def sparse_search(
@@ -205,33 +400,52 @@ def sparse_search(
     ``index``: a token table with ``fields``, whose vectors are added with the fields' weights (and with ``unit`` scaled to
     length 1). ``entries``: (query_id, term, weight) of the queries.
     """
-    spark = index.sparkSession
-    held = cut(entries.select("query_id", "term", F.col("weight").cast("double").alias("weight")))
+    return ranked(_searched(index, entries.select("query_id", "term", F.col("weight").cast("double").alias("weight")), k, [fields], weights, unit).drop("trial"), k)
+
+
+def sparse_trials(index: DataFrame, entries: DataFrame, k: int, grid: list[dict[str, float]], weights: Callable) -> DataFrame:
+    """(trial, query_id, doc_id, score, rank) for several sets of fields' weights, all in one pass over the token table.
+
+    ``entries``: (query_id, term, and a column for each field of the first set, and one that is added as it is); in every trial
+    both sides' vectors are their fields' sums with the trial's weights, scaled to length 1. Queries without one are left out.
+    """
+    w = W.partitionBy("trial", "query_id").orderBy(F.desc("score"), "doc_id")
+    found = _searched(index, entries, k, grid, weights, True)
+    return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+
+
+def _searched(index: DataFrame, entries: DataFrame, k: int, grid: list[dict[str, float]], weights: Callable, unit: bool) -> DataFrame:
+    """(query_id, doc_id, score, trial): the k best of every task."""
+    spark, fields, held = index.sparkSession, list(grid[0]), cut(entries)
     n, size = held.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
-    out = None
+    # a task keeps k rows a query, so there are as many tasks as cores
+    index, out = index.coalesce(spark.sparkContext.defaultParallelism), None
     for block in blocks(held, "query_id", n, size) if n else ():
         if block.num_rows:
             sent = spark.sparkContext.broadcast(Index(block))
             columns = [c for f in fields for c in (f, f"{f}_tf", f"{f}_len")]
-            found = index.select("doc_id", *columns).mapInArrow(_sparse_task(sent, list(fields.values()), weights, unit, k), SCHEMA)
+            shares = np.array([[g[f] for f in fields] for g in grid], float)
+            found = index.select("doc_id", *columns).mapInArrow(_sparse_task(sent, shares, weights, unit, k, len(entries.columns) > 3), SCHEMA + ", trial long")
             out = found if out is None else out.union(found)
-    return ranked(_empty(spark) if out is None else out, k)
+    return spark.createDataFrame([], SCHEMA + ", trial long") if out is None else out
+
 
+def _sparse_task(sent, grid: np.ndarray, weights: Callable, unit: bool, k: int, added: bool) -> Callable:
+    """``added``: whether the queries' fields are added as the texts' are, in every trial of ``grid``."""
 
-def _sparse_task(sent, shares: list[float], weights: Callable, unit: bool, k: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = sent.value
-        common, best = x.matrix(), Best(x.queries, k)
-        step = max(16, min(1024, 1_000_000 // len(x.queries)))
+        best = [Best(x.queries, k) for _ in grid]
         for b in batches:
-            ids = b.column(0).to_numpy()
-            for lo in range(0, len(ids), step):
-                part = b.slice(lo, step)
-                row, code, value, seen = text_terms(part, shares, weights, unit)
-                term = pc.fill_null(pc.index_in(seen, x.terms), -1).to_numpy(zero_copy_only=False)[code]
-                known = term >= 0
-                best.offer(ids[lo : lo + step], x.scores(part.num_rows, row[known], term[known], value[known], common))
-        yield best.batch()
+            row, code, parts, seen = text_parts(b, grid.shape[1], weights)
+            term = pc.fill_null(pc.index_in(seen, x.terms), -1).to_numpy(zero_copy_only=False)[code]
+            known = term >= 0
+            for shares, one in zip(grid, best):
+                value = summed(row, parts, shares, unit, b.num_rows)
+                x.offer(one, b.column(0).to_numpy(), row[known], term[known], value[known], np.append(shares, 1.0) if added else None)
+        for no, one in enumerate(best):
+            some = one.batch(x.asked(np.append(grid[no], 1.0)) if added else None)
+            yield some.append_column("trial", pa.array(np.full(some.num_rows, no)))
 
     return run
 

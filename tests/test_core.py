@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuscle.functions import structured, text, vectors
-from corpuscle.operators import align, bench, enrich, graph, metrics, retrieval, sampling, validate
+from corpuscle.operators import align, bench, enrich, graph, metrics, retrieval, sampling, search, validate
 from corpuscle.operators.components import components
 from corpuscle.operators.search import dense_search
 from corpuscle.sources import readers, sinks
@@ -185,6 +185,51 @@ def test_search_in_several_blocks_equals_one(spark, monkeypatch):
     assert sorted(map(tuple, dense_search(v, v.where("doc_id < 9"), 4).collect())) == near
 
 
+def by_brute_force(queries, texts, k):
+    """The k best of each query, as search ranks them: rounded scores, ties to the smaller id."""
+    out = set()
+    for q, terms in queries.items():
+        scored = sorted((-round(sum(w * t.get(x, 0.0) for x, w in terms.items()), 9) + 0.0, d) for d, t in texts.items())
+        out |= {(q, d, place) for place, (_, d) in enumerate(scored[:k])}
+    return out
+
+
+@pytest.mark.parametrize(("seed", "sign"), [(1, 1), (2, 1), (3, -1)])
+def test_grouped_scores_rank_as_brute_force(monkeypatch, seed, sign):
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(search, "MEMBERS", 40)
+    monkeypatch.setattr(search, "WIDTH", 30)
+    r = random.Random(seed)
+    kinds = [[f"{kind}{i}" for i in range(60)] for kind in "abc"]
+    text = lambda n: {x: r.choice([0.5, 1.0, 1.25]) for x in r.sample(r.choice(kinds) + ["the", "of", f"rare{r.randrange(99)}"], n)}
+    texts = {i: text(r.randrange(1, 12)) for i in range(900)} | {i: {"the": 1.0} for i in range(900, 960)} | {960 + i: {} for i in range(9)}
+    queries = {i: {x: w * r.choice([sign, 1]) for x, w in text(r.randrange(1, 9)).items()} for i in range(700)} | {700: {"nowhere": 1.0}}
+    rows = [(q, x, w) for q, t in queries.items() for x, w in t.items()]
+    index = search.Index(pa.table({"query_id": [a for a, _, _ in rows], "term": [b for _, b, _ in rows], "weight": [c for _, _, c in rows]}))
+    assert len(index.groups) > 8
+    place, best, ids = {x: n for n, x in enumerate(index.terms.to_pylist())}, search.Best(index.queries, 7), list(texts)
+    for lo in range(0, len(ids), 400):
+        some = [(n, place[x], v) for n, d in enumerate(ids[lo : lo + 400]) for x, v in texts[d].items() if x in place]
+        row, term, value = (np.array(c) for c in zip(*some))
+        index.offer(best, np.array(ids[lo : lo + 400]), row, term, value)
+    got = {(q, d, n) for q, docs in zip(index.queries.tolist(), best.doc.tolist()) for n, d in enumerate(docs)}
+    assert got == by_brute_force(queries, texts, 7)
+
+
+def test_search_keeps_k_rows_a_core(spark):
+    d = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} common") for i in range(60)], "doc_id long, plain string").repartition(24)
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        found = search._searched(search.term_index(d, ["plain"]), retrieval.term_counts(search.term_index(d, ["plain"]), "plain"), 1, [{"plain": 1.0}], search.lexical_weights, False)
+        assert found.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_paper_queries_drop_those_without_gold(spark):
     papers = spark.createDataFrame([("p1", 1), ("p2", 2)], "id string, corpusid long")
     q = spark.createDataFrame([("q1", "s", "t", None, "2", [2, 9, 1]), ("q2", "s", "u", "1", None, [9])], "id string, query_set string, query string, specificity string, quality string, corpusids array<long>")
