@@ -230,6 +230,15 @@ def test_search_keeps_k_rows_a_core(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_lexical_search_tokenises_the_corpus_once(spark, monkeypatch):
+    kept, own = [], retrieval.cut
+    monkeypatch.setattr(retrieval, "cut", lambda x: kept.append(x.columns) or own(x))
+    monkeypatch.setattr(search, "ENTRIES", 9)
+    d = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} common") for i in range(30)], "doc_id long, plain string")
+    assert retrieval.lexical_dense(d, d.where("doc_id < 9"), 3).count() == 27
+    assert ["doc_id", "plain", "plain_tf", "plain_len"] in kept
+
+
 def test_paper_queries_drop_those_without_gold(spark):
     papers = spark.createDataFrame([("p1", 1), ("p2", 2)], "id string, corpusid long")
     q = spark.createDataFrame([("q1", "s", "t", None, "2", [2, 9, 1]), ("q2", "s", "u", "1", None, [9])], "id string, query_set string, query string, specificity string, quality string, corpusids array<long>")
