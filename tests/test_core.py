@@ -239,6 +239,19 @@ def test_lexical_search_tokenises_the_corpus_once(spark, monkeypatch):
     assert ["doc_id", "plain", "plain_tf", "plain_len"] in kept
 
 
+def test_trials_share_one_search_and_equal_single_ones(spark, monkeypatch):
+    passes, own = [], search.blocks
+    monkeypatch.setattr(search, "blocks", lambda *x: passes.append(x) or own(*x))
+    rows = [(i, f"m{i % 3} x" if i % 4 else " ", i % 5 == 0, f"t{i % 6}" if i % 7 else "", f"w{i % 7} w{i % 5} t{i % 2} common" if i % 6 else "") for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, metadata string, useless boolean, title string, main_text string")
+    q, grid = d.where("doc_id < 25"), [{"metadata": 0.5, "title": 3.0, "main_text": 1.0}, {"metadata": 2.0, "title": 1.0, "main_text": 0.5}]
+    got = retrieval.charm_trials(d, q, grid, 4).collect()
+    assert len(passes) == 1
+    for no, f in enumerate(grid):
+        one = retrieval.charm(d, q, 4, f).collect()
+        assert {(r.query_id, r.doc_id, round(r.score, 8), r.rank) for r in got if r.trial == no} == {(r.query_id, r.doc_id, round(r.score, 8), r.rank) for r in one}
+
+
 def test_paper_queries_drop_those_without_gold(spark):
     papers = spark.createDataFrame([("p1", 1), ("p2", 2)], "id string, corpusid long")
     q = spark.createDataFrame([("q1", "s", "t", None, "2", [2, 9, 1]), ("q2", "s", "u", "1", None, [9])], "id string, query_set string, query string, specificity string, quality string, corpusids array<long>")
