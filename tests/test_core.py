@@ -301,6 +301,32 @@ def test_bench_registry_and_search(spark):
     assert len(trials) == 2
 
 
+def test_runs_search_only_queries_that_can_find_a_judged_document(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(7)
+    words = [" ".join(f"w{int(rnd.paretovariate(0.6)) % 300}" for _ in range(rnd.randint(3, 30))) for _ in range(400)]
+    words[5], words[6], words[7], words[390] = "", words[8], words[9] + " w1", words[8]  # empty, copies, a near copy
+    d = spark.createDataFrame([(i, "paper", w, f"{w} l{i % 7}", True) for i, w in enumerate(words)], "doc_id long, source_type string, plain string, labelled string, is_candidate boolean")
+    near = [(8, 6), (8, 390), (6, 8), (9, 7), (7, 9), (5, 0), (20, 5), (21, 21), (22, 9999)]
+    t = spark.createDataFrame(near + [(q, rnd.randrange(400)) for q in range(10, 90) for _ in range(2)], "query_id long, doc_id long").distinct()
+    q = d.where("doc_id < 90")
+    searched = []
+
+    def spied(index, entries, *args, **kw):
+        searched.append(entries.select("query_id").distinct().count())
+        return search.sparse_search(index, entries, *args, **kw)
+
+    for part in (100, 20_000):
+        monkeypatch.setattr(search, "FIRST", part)
+        for name in ("bm25", "dense", "dense_labels"):
+            want = {tuple(r) for r in metrics.means(metrics.evaluate(bench.METHODS[name](d, q, 10), t)).collect()}
+            with monkeypatch.context() as m:
+                m.setattr(retrieval, "sparse_search", spied)
+                got = {tuple(r)[1:] for r in bench.run(d, q, t, [name]).collect()}
+            assert got == want and max(v for *_, v in want) > 0.02 and 5 <= searched[-1] < 45, (name, part, searched[-1])
+
+
 def test_training_lowers_alphas_when_messages_help(spark):
     start = spark.createDataFrame([("q", 1, 0.1), ("q", 2, 0.9), ("q", 3, 0.5)], "query_id string, doc_id long, h double")
     edges, t = spark.createDataFrame([(1, 2)], "src long, dst long"), spark.createDataFrame([("q", 2)], "query_id string, doc_id long")
